@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import overlap
+from . import garbled, overlap
 
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -21,5 +21,13 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(p4_pairs(spark, d), table(spark, d, "heldout"), "posting_id", "split", "source")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_report)}
+def p5_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.repair(table(spark, d, "raw_postings"), "row_id", "text").withColumnRenamed("id", "row_id")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_restored(spark, d).select("row_id")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_report, p5_found, p5_restored)}
 ORACLES: dict[str, str] = {}
