@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import garbled, overlap
+from . import canonical, garbled, overlap
 
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -29,5 +29,30 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_restored(spark, d).select("row_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_report, p5_found, p5_restored)}
+def p7_mapped(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "job_postings")
+    regions, skills = table(spark, d, "region_ref"), table(spark, d, "skill_ref")
+    codes = canonical.reference(regions, F.col("region_code"), F.col("region_name"))
+    names = canonical.reference(skills, F.col("skill_id"), F.col("skill"), F.col("aliases"))
+
+    def stated(column):
+        return column.isNotNull() & (F.regexp_replace(column, "[\\s\u00a0]+", "") != "")
+
+    places = rows.select("record_id", F.lit("region").alias("field_name"), F.lit(0).alias("pos"), F.col("location.region").alias("value"))
+    entered = rows.select("record_id", F.lit("required_skills").alias("field_name"), F.posexplode("required_skills").alias("pos", "value"))
+    places = places.filter(stated(F.col("value")) & ~F.col("value").isin([k for k, _, _ in codes]))
+    entered = entered.filter(stated(F.col("value")) & ~F.col("value").isin([n for _, n, _ in names]))
+    return (canonical.canonicalize(places, "value", codes, keys_entered=True)
+            .unionByName(canonical.canonicalize(entered, "value", names)))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_mapped(spark, d).select("record_id", "field_name", "pos", "ref_key")
+
+
+def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.unmatched_report(p7_mapped(spark, d), "value", "field_name")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_report, p5_found, p5_restored, p7_found, p7_unmatched)}
 ORACLES: dict[str, str] = {}
