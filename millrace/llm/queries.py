@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import canonical, garbled, overlap
+from . import canonical, garbled, leaks, overlap
 
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -54,5 +54,24 @@ def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return canonical.unmatched_report(p7_mapped(spark, d), "value", "field_name")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_report, p5_found, p5_restored, p7_found, p7_unmatched)}
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_spans(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leak_report(p8_spans(spark, d))
+
+
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    spans = leaks.leaked_spans(documents, table(spark, d, "eval_items"))
+    return leaks.without_leaks(documents, spans).select("doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_report, p5_found, p5_restored, p7_found, p7_unmatched,
+                                    p8_found, p8_report, p8_cleaned)}
 ORACLES: dict[str, str] = {}
