@@ -108,33 +108,46 @@ def _load(documents: DataFrame, text: str, rows: list) -> Items:
     return Items([r.id for r in rows], [_WORD.findall(t.lower()) for t in texts], masks)
 
 
-#: A word changed in between costs so many matched words: stretches that share only turns of phrase don't add up.
-CHANGE_COST = 6
+#: A stretch needs so many matched words for each word changed in between: turns of phrase that items share don't add up.
+MATCHED_PER_CHANGE = 5.5
 
 
 def _stretches(doc: list[str], item: list[str], stock: list[bool], slack: int):
-    """(item words matched, first and past-the-last document word) of the best-scored part of each stretch of an alignment."""
+    """(item words matched, first and past-the-last document word) of each stretch of an alignment.
+
+    Runs of an alignment hang together if at most `slack` words lie between them; of such a chain the
+    part with most matched words is given that has few enough changes.
+    """
     masked = [None if s else w for w, s in zip(item, stock)]
     stock_before = np.r_[0, np.cumsum(stock)]
-    best = chain = None
+    chain: list[tuple[int, int, int, int]] = []  # words, changes before, first and past-the-last document word
+    item_end = 0
+
+    def best():
+        top = None
+        for i in range(len(chain)):
+            n = edits = 0
+            for j in range(i, len(chain)):
+                edits += chain[j][1] if j > i else 0
+                n += chain[j][0]
+                if edits * MATCHED_PER_CHANGE <= n and (top is None or n > top[0]):
+                    top = (n, chain[i][2], chain[j][3])
+        return top
+
     for b in SequenceMatcher(None, doc, masked, False).get_matching_blocks():
         if not b.size:
             continue
-        n, score, first = 0, 0, b.a
+        gap = 0
         if chain:
-            old_n, old_score, old_first, end, item_end = chain
             skipped = int(stock_before[b.b] - stock_before[item_end])
-            gap = max(b.a - end - skipped, b.b - item_end - skipped, 0)
-            if gap <= slack and old_score > CHANGE_COST * gap:
-                n, score, first = old_n, old_score - CHANGE_COST * gap, old_first
-            else:
-                yield best[1:]
-                best = None
-        chain = (n + b.size, score + b.size, first, b.a + b.size, b.b + b.size)
-        if best is None or chain[1] > best[0]:
-            best = (chain[1], chain[0], first, chain[3])
-    if best:
-        yield best[1:]
+            gap = max(b.a - chain[-1][3] - skipped, b.b - item_end - skipped, 0)
+            if gap > slack:
+                yield best()
+                chain = []
+        chain.append((b.size, gap, b.a, b.a + b.size))
+        item_end = b.b + b.size
+    if chain:
+        yield best()
 
 
 def _finder(items: Items, least: int, slack: int, near: int):
@@ -196,8 +209,8 @@ def leaked_spans(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_i
                  least: int = 20, slack: int = 2, near: int = 60) -> DataFrame:
     """(doc_id, item_id, n_words, start_char, end_char) of every stretch of a document with at least `least` words of an item.
 
-    Up to `slack` words in a row may be changed, left out or added within a stretch, one in CHANGE_COST on
-    the whole; stock sentences in between don't count and don't break it. Null and empty texts hold nothing and null items leak
+    Up to `slack` words in a row may be changed, left out or added within a stretch, one for each
+    MATCHED_PER_CHANGE matched; stock sentences in between don't count and don't break it. Null and empty texts hold nothing and null items leak
     nothing; repeated documents each count; texts of any length are scanned whole; empty tables give no
     rows; other columns are ignored. `item_id` is an integer. Items beyond `BLOCK_WORDS` words are
     taken in blocks, each scanned for in turn.
