@@ -5,7 +5,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import canonical, garbled, leaks, overlap
+from . import canonical, garbled, groups, leaks, mixing, overlap, pieces, sampling
+
+
+def _train_groups(spark: SparkSession, d: str) -> DataFrame:
+    return groups.related_groups(table(spark, d, "train"), "posting_id", groups.entity_number(F.col("company_id")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return groups.shared_groups(_train_groups(spark, d)).select(F.col("id").alias("posting_id"), F.col("group_entity").alias("group_company"))
+
+
+def p2_splits(spark: SparkSession, d: str) -> DataFrame:
+    shares = [(r.split, r.share) for r in table(spark, d, "split_targets").limit(1000).collect()]
+    split = groups.assign_splits(_train_groups(spark, d), shares)
+    rows = table(spark, d, "train").select("posting_id", "batch", "company_id")
+    return rows.join(split.withColumnRenamed("id", "posting_id"), "posting_id")
+
+
+def _strata(spark: SparkSession, d: str):
+    facts = table(spark, d, "corpus_facts")
+    names = (("salary", "salary"), ("deadline", "deadline"), ("salary_deadline", "salary+deadline"), ("plain", "plain"))
+    targets = facts.select("source", "sample_share", "min_rows", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("stratum"), F.col(f"strata.{field}").alias("share")) for field, name in names])).alias("t"))
+    targets = targets.select("source", "t.stratum", "t.share", "sample_share", "min_rows")
+    postings = (table(spark, d, "raw_postings").filter(F.col("posting_id").isNotNull() & F.col("source").isNotNull())
+                .groupBy("source", "posting_id").agg(F.min(sampling.category(F.col("stratum"), ("salary", "deadline"), "plain")).alias("stratum")))
+    return sampling.stratified_sample(postings, targets, id_col="posting_id", group="source", stratum="stratum")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _strata(spark, d)[1].filter("unmet").select("source", "stratum")
+
+
+def p3_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _strata(spark, d)[0].select(F.col("id").alias("posting_id"), "source", "stratum")
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return _strata(spark, d)[1].select("source", "stratum", "available", "n_sample", F.round("needed", 6).alias("needed"), "unmet")
 
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -29,6 +67,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_restored(spark, d).select("row_id")
 
 
+def p6_sample(spark: SparkSession, d: str) -> DataFrame:
+    chosen = sampling.consistent_sample(table(spark, d, "train"), "posting_id", 0.1)
+    return chosen.filter("selected").select(F.col("id").alias("posting_id"))
+
+
 def p7_mapped(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "job_postings")
     regions, skills = table(spark, d, "region_ref"), table(spark, d, "skill_ref")
@@ -72,6 +115,31 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leaks.without_leaks(documents, spans).select("doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_report, p5_found, p5_restored, p7_found, p7_unmatched,
-                                    p8_found, p8_report, p8_cleaned)}
+def _mixture(spark: SparkSession, d: str):
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[1].filter(F.col("unmet") & (F.col("n_docs") > 0)).select("source")
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[1]
+
+
+def p9_copies(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[0].select("doc_id", "source", "copies")
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.split_oversized(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    cut = pieces.split_oversized(table(spark, d, "documents"), "doc_id", "text", with_text=False)
+    return cut.filter((F.col("piece") == 0) & (F.col("n_pieces") > 1)).select(F.col("id").alias("doc_id"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_sample, p3_report, p4_found, p4_report, p5_found, p5_restored, p6_sample, p7_found, p7_unmatched,
+                                    p8_found, p8_report, p8_cleaned, p9_found, p9_report, p9_copies, p10_found, p10_pieces)}
 ORACLES: dict[str, str] = {}
