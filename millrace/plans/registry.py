@@ -1,7 +1,7 @@
 """All registered queries of the core."""
 from __future__ import annotations
 
-from . import training_queries
+from . import text_queries, training_queries
 
-QUERIES = {**training_queries.QUERIES}
-ORACLES: dict[str, str] = {}
+QUERIES = {**text_queries.QUERIES, **training_queries.QUERIES}
+ORACLES: dict[str, str] = {**text_queries.ORACLES}
