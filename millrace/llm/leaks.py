@@ -1,8 +1,8 @@
 """Passages of evaluation items in a training corpus.
 
 The n-grams of the items (words of a-z and 0-9, lower-cased) are a small hash set that every task
-holds; documents are scanned chunk-wise for windows that hit it. Where at least two windows of one item
-lie close together, the words there are aligned with the item's, and a stretch counts that has enough
+holds; documents are scanned chunk-wise for windows that hit it. Where so many windows of one item as a leaked
+stretch must hit lie close together, the words there are aligned with the item's, and a stretch counts that has enough
 of the item's words in order with no more than single words changed, left out or added in between.
 
 Stock sentences do not count: n-grams of `STOCK_GRAM` words that several items share, or that more than
@@ -150,10 +150,25 @@ def _stretches(doc: list[str], item: list[str], stock: list[bool], slack: int):
         yield best()
 
 
+def _needed_hits(items: Items, least: int) -> np.ndarray:
+    """For each item the seeds that a stretch of `least` words hits at the least.
+
+    With n words matched and at most n / MATCHED_PER_CHANGE changes and the item's stock runs in between, the words lie in
+    that many runs and one more; a run of r words holds r - SEED_GRAM + 1 seeds.
+    """
+    out = []
+    for mask in items.stock:
+        breaks = sum(1 for i, m in enumerate(mask) if m and (i == 0 or not mask[i - 1]))
+        runs = int(least / MATCHED_PER_CHANGE) + 1 + breaks
+        out.append(max(1, least - (SEED_GRAM - 1) * runs))
+    return np.array(out, np.int64)
+
+
 def _finder(items: Items, least: int, slack: int, near: int):
     seed_codes, seed_items, seed_places = items.seeds()
     order = np.argsort(seed_codes, kind="stable")
     seed_codes, seed_items, seed_places = seed_codes[order], seed_items[order], seed_places[order]
+    needed = _needed_hits(items, least)
 
     def aligned(text: str, hits: list[tuple[int, int, int]]):
         """hits: (item, document word, item word), sorted."""
@@ -165,8 +180,8 @@ def _finder(items: Items, least: int, slack: int, near: int):
             end = k + 1
             while end < len(hits) and hits[end][0] == hits[k][0] and hits[end][1] - hits[end - 1][1] <= near:
                 end += 1
-            if len({p for _, _, p in hits[k:end]}) >= 2:
-                item = hits[k][0]
+            item = hits[k][0]
+            if len({p for _, _, p in hits[k:end]}) >= needed[item]:
                 low = low or [text[a:b].lower() for a, b in at]
                 a, b = max(0, hits[k][1] - near), min(len(low), hits[end - 1][1] + near)
                 for n, first, last in _stretches(low[a:b], items.words[item], items.stock[item], slack):
@@ -177,26 +192,32 @@ def _finder(items: Items, least: int, slack: int, near: int):
 
     def run(batches):
         known = _Set(seed_codes)
+        begins, ends = (np.searchsorted(seed_codes, known.codes, side) for side in ("left", "right"))
         for batch in batches:
             out_ids, out_items, out_n, out_from, out_to = [], [], [], [], []
             for row0, part in chunks(batch.column(1)):
                 h, rows, *_ = words(part)
                 codes, owner, first = shingles(h, rows, SEED_GRAM)
                 places, at = known.hits(codes)
-                owner = owner[places]
-                word = first[places] - np.searchsorted(rows, owner)
-                for r in np.flatnonzero(np.bincount(owner, minlength=1) >= 2) if len(owner) else ():
-                    mine = slice(np.searchsorted(owner, r), np.searchsorted(owner, r, "right"))
-                    hits = []
-                    for w, c in zip(word[mine].tolist(), known.codes[at[mine]]):
-                        for s in range(np.searchsorted(seed_codes, c), np.searchsorted(seed_codes, c, "right")):
-                            hits.append((int(seed_items[s]), w, int(seed_places[s])))
-                    text = part[int(r)].as_py()
-                    for item, found in aligned(text, sorted(hits)).items():
-                        for n, a, b in found:
+                if not len(places):
+                    continue
+                # one entry for each item that has the seed
+                times = ends[at] - begins[at]
+                seed = np.repeat(begins[at], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                row, word = np.repeat(owner[places], times), np.repeat(first[places], times)
+                pair = row * len(needed) + seed_items[seed]
+                pairs, which, n = np.unique(pair, return_inverse=True, return_counts=True)
+                keep = (n >= needed[pairs % len(needed)])[which]
+                row, word, seed = row[keep], word[keep], seed[keep]
+                starts = np.searchsorted(rows, row)
+                for r in np.unique(row):
+                    mine = row == r
+                    hits = sorted(zip(seed_items[seed[mine]].tolist(), (word[mine] - starts[mine]).tolist(), seed_places[seed[mine]].tolist()))
+                    for item, found in aligned(part[int(r)].as_py(), hits).items():
+                        for n_words, a, b in found:
                             out_ids.append(row0 + int(r))
                             out_items.append(items.ids[item])
-                            out_n.append(n)
+                            out_n.append(n_words)
                             out_from.append(a)
                             out_to.append(b)
             yield pa.RecordBatch.from_arrays(
