@@ -124,7 +124,7 @@ def amount_ok(value: Column) -> Column:
 
 def amount(value: Column) -> Column:
     """Two decimals, null where amount_ok isn't met."""
-    return F.when(amount_ok(value), F.bround(value, 2))
+    return F.when(amount_ok(value), F.round(value, 2))
 
 
 def short_text(value: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import records as rec
+from ..functions import text as tx
 
 LOWER_IS_BETTER = ("hallucination_rate", "over_emission_rate", "mean_latency_s")
 
@@ -19,19 +20,45 @@ def _empty() -> Column:
     return F.array().cast("array<string>")
 
 
-def leaf_counts(gold: Column, pred: Column, of: rec.Leaf, parsed: Column | None = None) -> Column:
-    """struct<tp, fp, fn, tn> of one leaf. A wrong value is both a false positive and a false negative; sets count items."""
-    g, p = rec.leaf(gold, of.path), rec.leaf(pred, of.path)
-    if parsed is not None:
-        p = F.when(parsed, p)
-    if of.is_set:
-        g, p = F.coalesce(F.array_distinct(g), _empty()), F.coalesce(F.array_distinct(p), _empty())
-        both = F.size(F.array_intersect(g, p))
-        return F.struct(both.alias("tp"), (F.size(p) - both).alias("fp"), (F.size(g) - both).alias("fn"), ((F.size(g) == 0) & (F.size(p) == 0)).cast("int").alias("tn"))
-    same = F.coalesce(rec.same_value(of, g, p), F.lit(False))
-    stated, given = g.isNotNull(), p.isNotNull()
-    return F.struct((stated & given & same).cast("int").alias("tp"), (given & ~(stated & same)).cast("int").alias("fp"),
-                    (stated & ~(given & same)).cast("int").alias("fn"), (~stated & ~given).cast("int").alias("tn"))
+def leaf_pairs(gold: Column, pred: Column) -> Column:
+    """array<struct<field, kind, g, p, gs, ps>>: both sides of each leaf as text, sets as arrays.
+
+    One array that lambdas walk keeps the plan small: the rules below exist once and not once per leaf.
+    """
+    out = []
+    for x in rec.LEAVES:
+        g, p = rec.leaf(gold, x.path), rec.leaf(pred, x.path)
+        kind = "pay" if x.comparator == "numeric" and x.path.startswith("salary.") else x.comparator
+        text = [F.lit(None).cast("string")] * 2 if x.is_set else ([g.cast("double").cast("string"), p.cast("double").cast("string")] if x.comparator == "numeric" else [g, p])
+        sets = [F.coalesce(F.array_distinct(g), _empty()), F.coalesce(F.array_distinct(p), _empty())] if x.is_set else [_empty()] * 2
+        out.append(F.struct(F.lit(x.path).alias("field"), F.lit(kind).alias("kind"), text[0].alias("g"), text[1].alias("p"), sets[0].alias("gs"), sets[1].alias("ps")))
+    return F.array(*out)
+
+
+def judge(l: Column) -> Column:
+    """Of one leaf pair: struct<field, ok, g_null, p_null, g_none, p_none, tp, fp, fn, tn>.
+
+    A wrong value is both a false positive and a false negative; sets count items. Null is not stated; an empty list is
+    neither null nor stated ("none").
+    """
+    is_set = l["kind"] == "set"
+    both = F.size(F.array_intersect(l["gs"], l["ps"]))
+    n_g, n_p = F.size(l["gs"]), F.size(l["ps"])
+    g, p = l["g"].try_cast("double"), l["p"].try_cast("double")
+    same = (F.when(l["kind"] == "string", F.lit(False)).when(l["kind"] == "pay", F.abs(g - p) <= F.lit(rec.SALARY_TOLERANCE) * F.greatest(F.abs(g), F.lit(1.0)))
+            .when(l["kind"] == "numeric", g == p).otherwise(l["g"] == l["p"]))
+    same = F.when((l["kind"] == "string") & (l["g"] != l["p"]), tx.comparable(l["g"]) == tx.comparable(l["p"])).when(l["kind"] == "string", True).otherwise(same)
+    g_null, p_null = l["g"].isNull(), l["p"].isNull()
+    equal = F.coalesce(F.when(g_null | p_null, g_null & p_null).otherwise(same), F.lit(False))
+    hit = ~g_null & ~p_null & equal
+
+    def pick(for_set: Column, for_scalar: Column) -> Column:
+        return F.when(is_set, for_set).otherwise(for_scalar.cast("int"))
+
+    return F.struct(
+        l["field"].alias("field"), F.when(is_set, (both == n_g) & (both == n_p)).otherwise(equal).alias("ok"),
+        (~is_set & g_null).alias("g_null"), (~is_set & p_null).alias("p_null"), F.when(is_set, n_g == 0).otherwise(g_null).alias("g_none"), F.when(is_set, n_p == 0).otherwise(p_null).alias("p_none"),
+        pick(both, hit).alias("tp"), pick(n_p - both, ~p_null & ~hit).alias("fp"), pick(n_g - both, ~g_null & ~hit).alias("fn"), pick(((n_g == 0) & (n_p == 0)).cast("int"), g_null & p_null).alias("tn"))
 
 
 def score_pairs(pairs: DataFrame, gold: str, pred: str, source: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -40,29 +67,22 @@ def score_pairs(pairs: DataFrame, gold: str, pred: str, source: str | None = Non
     A pair with a null prediction isn't skipped: every stated gold leaf is missed, every null one credited.
     """
     g, p = F.col(gold), F.col(pred)
+    rows = pairs.withColumn("counts", tx.let(leaf_pairs(g, p), lambda ls: F.transform(ls, judge)))
     parsed = p.isNotNull()
-    right = {x.path: F.coalesce(F.when(parsed, rec.same_value(x, rec.leaf(g, x.path), rec.leaf(p, x.path))).otherwise(rec.leaf(g, x.path).isNull()), F.lit(False)) for x in rec.LEAVES}
-    total = lambda cols: sum((c.cast("int") for c in cols), F.lit(0))
-    emitted = {x.path: parsed & ~rec.is_null(rec.leaf(p, x.path), x) for x in rec.LEAVES}
-    every = F.lit(True)
-    for c in right.values():
-        every = every & c
-    return pairs.select(
-        *keep, parsed.alias("parsed"), (parsed & every).alias("exact_match"),
-        F.map_from_arrays(F.array(*[F.lit(k) for k in right]), F.array(*right.values())).alias("field_correct"),
-        total(emitted.values()).alias("n_emitted"),
-        total([emitted[x.path] & rec.is_null(rec.leaf(g, x.path), x) for x in rec.LEAVES]).alias("n_over_emitted"),
-        total([rec.leaf(g, x.path).isNull() for x in rec.LEAVES]).alias("n_gold_null"),
-        total([rec.leaf(g, x.path).isNull() & (~parsed | rec.leaf(p, x.path).isNull()) for x in rec.LEAVES]).alias("n_correct_null"),
-        (F.when(parsed, rec.ungrounded(p, F.col(source))).otherwise(_empty()) if source else _empty()).alias("ungrounded"),
-        F.map_from_arrays(F.array(*[F.lit(x.path) for x in rec.LEAVES]), F.array(*[leaf_counts(g, p, x, parsed) for x in rec.LEAVES])).alias("counts"))
+    n = lambda rule: F.size(F.filter("counts", rule))
+    return rows.select(
+        *keep, parsed.alias("parsed"), (parsed & F.forall("counts", lambda c: c["ok"])).alias("exact_match"),
+        F.map_from_entries(F.transform("counts", lambda c: F.struct(c["field"], F.when(parsed, c["ok"]).otherwise(c["g_null"])))).alias("field_correct"),
+        F.when(parsed, n(lambda c: ~c["p_none"])).otherwise(0).alias("n_emitted"), F.when(parsed, n(lambda c: ~c["p_none"] & c["g_none"])).otherwise(0).alias("n_over_emitted"),
+        n(lambda c: c["g_null"]).alias("n_gold_null"), n(lambda c: c["g_null"] & (~parsed | c["p_null"])).alias("n_correct_null"),
+        (F.when(parsed, rec.ungrounded(p, F.col(source))).otherwise(_empty()) if source else _empty()).alias("ungrounded"), "counts")
 
 
 def field_counts(scored: DataFrame, by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
-    """(by..., field, tp, fp, fn, tn), with every pair counted `weight` times."""
+    """(by..., field, tp, fp, fn, tn) with every pair counted `weight` times."""
     w = weight if weight is not None else F.lit(1)
-    flat = scored.select(*by, w.alias("_w"), F.explode("counts").alias("field", "c"))
-    return flat.groupBy(*by, "field").agg(*[F.sum(F.col(f"c.{x}") * F.col("_w")).alias(x) for x in ("tp", "fp", "fn", "tn")])
+    flat = scored.select(*by, w.alias("_w"), F.explode("counts").alias("c"))
+    return flat.groupBy(*by, F.col("c.field").alias("field")).agg(*[F.sum(F.col(f"c.{x}") * F.col("_w")).alias(x) for x in ("tp", "fp", "fn", "tn")])
 
 
 def with_f1(counts: DataFrame) -> DataFrame:
