@@ -54,30 +54,58 @@ def chunks(texts: pa.Array, limit: int = 1 << 20):
         at = stop
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row, and first and past-the-last byte (in the lower-cased text) of each word; nulls have none."""
-    low = pc.fill_null(pc.utf8_lower(texts.cast(pa.large_string())), "")
-    offsets = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
-    first, last = int(offsets[0]), int(offsets[-1])
-    if last == first:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none
-    data = np.frombuffer(low.buffers()[2], np.uint8)[first:last]
-    at = offsets - first
+#: Bytes hashed at once; a longer text is cut between words.
+BLOCK = 1 << 22
+
+
+def _hash_words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, past-the-last byte) of the words of a byte array; `breaks` are places where a word may not go on."""
     inside = _WORD[data]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
-    edges = at[:-1][at[:-1] < len(data)]
-    begin[edges] = inside[edges]
+    begin[breaks] = inside[breaks]
     end = inside.copy()
     end[:-1] &= ~inside[1:]
-    edges = at[1:][at[1:] > 0] - 1
-    end[edges] = inside[edges]
+    before = breaks[breaks > 0] - 1
+    end[before] = inside[before]
     starts, stops = np.flatnonzero(begin), np.flatnonzero(end) + 1
     power, inverse = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
-    hashes = mix((sums[stops] - sums[starts]) * inverse[starts])
+    return mix((sums[stops] - sums[starts]) * inverse[starts]), starts, stops
+
+
+def _blocks(data: np.ndarray):
+    at = 0
+    while at < len(data):
+        stop = min(len(data), at + BLOCK)
+        while stop < len(data) and _WORD[data[stop]] and _WORD[data[stop - 1]]:
+            stop += 1
+        yield at, data[at:stop]
+        at = stop
+
+
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row, and first and past-the-last byte (in the lower-cased text) of each word; nulls have none."""
+    none = np.zeros(0, np.int64)
+    if not len(texts):
+        return none.astype(np.uint64), none, none, none
+    low = pc.fill_null(pc.utf8_lower(texts.cast(pa.large_string())), "")
+    offsets = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
+    first, last = int(offsets[0]), int(offsets[-1])
+    if last == first:
+        return none.astype(np.uint64), none, none, none
+    data = np.frombuffer(low.buffers()[2], np.uint8)[first:last]
+    at = offsets - first
+    if len(data) <= BLOCK:
+        hashes, starts, stops = _hash_words(data, np.unique(at[at < len(data)]))
+    else:
+        found = []
+        for base, block in _blocks(data):
+            inner = at[(at >= base) & (at < base + len(block))] - base
+            h, a, b = _hash_words(block, np.unique(inner))
+            found.append((h, a + base, b + base))
+        hashes, starts, stops = (np.concatenate(x) for x in zip(*found))
     rows = np.searchsorted(at, starts, "right") - 1
     return hashes, rows, starts - at[rows], stops - at[rows]
 

@@ -133,7 +133,7 @@ def ordinals(df: DataFrame, key: str) -> DataFrame:
 
 def multinomial_weights(spark, n: int, replicates: int, seed: int = 17) -> DataFrame:
     """(replicate, _at, w): how often each of n rows is drawn in n draws, for each replicate; the draws are MD5 numbers."""
-    draws = spark.range(replicates).withColumnRenamed("id", "replicate").crossJoin(spark.range(n).withColumnRenamed("id", "j"))
+    draws = spark.range(replicates * n).select((F.col("id") / n).cast("bigint").alias("replicate"), (F.col("id") % n).alias("j"))
     number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("j").cast("string"))), 1, 13), 16, 10).cast("bigint")
     return draws.select("replicate", (number % n).alias("_at")).groupBy("replicate", "_at").agg(F.count("*").alias("w"))
 
@@ -181,11 +181,10 @@ def paired_test(a: DataFrame, b: DataFrame, key: str, metric: str = "micro_f1",
     def point(s):
         return roll_up(field_counts(s)).filter(F.col("metric") == metric).select("value")
 
-    obs = point(xs).withColumnRenamed("value", "x").crossJoin(point(ys).withColumnRenamed("value", "y")).select((F.col("x") - F.col("y")).alias("observed"))
+    observed = point(xs).first()[0] - point(ys).first()[0]
     d = (bootstrap(xs, key, replicates, seed).select("replicate", F.col(metric).alias("x"))
          .join(bootstrap(ys, key, replicates, seed).select("replicate", F.col(metric).alias("y")), "replicate").select((F.col("x") - F.col("y")).alias("d")))
-    return (d.crossJoin(F.broadcast(obs)).groupBy("observed")
-            .agg(F.avg((F.abs(F.col("d") - F.col("observed")) >= F.abs(F.col("observed"))).cast("double")).alias("p_value")))
+    return d.agg(F.lit(observed).alias("observed"), F.avg((F.abs(F.col("d") - observed) >= abs(observed)).cast("double")).alias("p_value"))
 
 
 # ---- failures and comparisons -------------------------------------------------------------------
@@ -210,9 +209,8 @@ def failure_tags(gold: Column, pred: Column, ungrounded: Column) -> Column:
 def failure_histogram(df: DataFrame, tags: str) -> DataFrame:
     """(tag, n, share of the rows that have any tag)."""
     failing = df.filter(F.size(tags) > 0)
-    total = failing.agg(F.count("*").alias("total"))
-    return (failing.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))
-            .select("tag", "n", F.round(F.col("n") / F.col("total"), 6).alias("share")))
+    total = failing.agg(F.count("*")).scalar()
+    return failing.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).select("tag", "n", F.round(F.col("n") / total, 6).alias("share"))
 
 
 def gap_closed(base: Column, ours: Column, ceiling: Column, lower_better: Column | bool = False) -> Column:

@@ -1,7 +1,7 @@
 """Descriptive tables: counters, shares, percentiles by place, stated rates, leakage of keys, guards."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import records as rec
@@ -23,8 +23,6 @@ def place_percentiles(df: DataFrame, value: str, qs: tuple[float, ...]) -> DataF
     histogram, so that no task sorts all rows.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     n = counts.agg(F.sum("n").alias("total"))
     spans = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v"))).withColumn("before", F.col("upto") - F.col("n"))
     wanted = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.least(F.col("total") - 1, F.floor(F.lit(q) * F.col("total"))).alias("place")) for q in qs])).alias("w")
@@ -51,8 +49,8 @@ def windowed_excess(df: DataFrame, ts: str, width: str, limit: int, *by: str) ->
 
 def guard_share(df: DataFrame, bad: Column, most: float, message: str) -> DataFrame:
     """`df` as it is, or an error when run if more than `most` of its rows are bad."""
-    check = df.agg(F.avg(bad.cast("int")).alias("s")).select(F.assert_true(F.coalesce(F.col("s"), F.lit(0.0)) <= most, F.lit(message)).alias("ok"))
-    return df.crossJoin(F.broadcast(check)).drop("ok")
+    found = df.agg(F.coalesce(F.avg(bad.cast("int")), F.lit(0.0))).scalar()
+    return df.filter(F.assert_true(found <= most, F.lit(message)).isNull())
 
 
 def guard_same_size(runs: dict[str, DataFrame]) -> int:
