@@ -62,7 +62,12 @@ class Canonicalizer:
         for s, k in short.items():
             if len(k) == 1 and len(s) >= 6:
                 self._add(s, next(iter(k)))
-        self.find = lru_cache(1 << 16)(self._find)
+        self.longest = max(map(len, self.exact), default=0)
+        self._cached = lru_cache(1 << 16)(self._find)
+
+    def find(self, value: str) -> tuple[str, int]:
+        """(key or '', edits) of the entry meant by a value; short values are remembered."""
+        return self._cached(value) if len(value) <= 200 else self._find(value)
 
     @staticmethod
     def _abbreviations(word: str) -> set[str]:
@@ -127,7 +132,7 @@ class Canonicalizer:
         best: tuple[int, set[str]] = (9, set())
         for f in forms:
             limit = limit_for(len(f))
-            if limit:
+            if limit and len(f) <= self.longest + limit:
                 hits = self.near(f, limit)
                 if hits and hits[0][0] <= best[0]:
                     keys = {k for d, k in hits if d == hits[0][0]}

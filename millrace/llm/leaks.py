@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.wordcodes import chunks, distinct_by_row, shingles, words
 from ..runtime import ship
-from .wordcodes import chunks, distinct_by_row, shingles, words
 
 SEED_GRAM = 4
 STOCK_GRAM = 8
@@ -98,7 +98,7 @@ def _load(documents: DataFrame, text: str, rows: list) -> Items:
     distinct, n_items = np.unique(pairs[0], return_counts=True)
     stock = set(distinct[n_items >= STOCK_ITEMS].tolist())
     if len(distinct):
-        counted = documents.select(text).mapInArrow(_document_counts(distinct), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        counted = documents.select(F.col(text).alias("text")).mapInArrow(_document_counts(distinct), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
         floor = max(STOCK_LEAST, STOCK_SHARE * documents.count())
         stock |= {r.code % (1 << 64) for r in counted.filter(F.col("n") > floor).collect()}
     masks = [[False] * len(_WORD.findall(t)) for t in texts]
@@ -266,4 +266,4 @@ def without_leaks(documents: DataFrame, spans: DataFrame, *, doc_id: str = "doc_
         lambda s, c: F.struct(F.greatest(s["at"], c["end_char"]).alias("at"),
                               F.concat(s["out"], F.when(c["start_char"] > s["at"], F.substring(F.col(text), s["at"] + 1, c["start_char"] - s["at"])).otherwise(F.lit(""))).alias("out")),
         lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.lit(2**31 - 1))))
-    return documents.join(cuts, doc_id, "left").withColumn(text, F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(kept)).drop("_cuts")
+    return documents.drop("_cuts").join(cuts, doc_id, "left").withColumn(text, F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(kept)).drop("_cuts")

@@ -110,8 +110,7 @@ def mixture(documents: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id",
               .withColumn("copies", F.col("whole") + F.coalesce(F.col("cell") <= F.col("edge"), F.lit(False)).cast("int"))
               .select("doc_id", "source", "n_tokens", "rate", "copies"))
     reached = copies.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("reached"))
-    whole = reached.agg(F.sum("reached").alias("whole"))
-    report = (plan.join(reached, "source", "left").na.fill(0, ["reached"]).crossJoin(F.broadcast(whole))
+    report = (plan.join(reached, "source", "left").na.fill(0, ["reached"]).withColumn("whole", F.sum("reached").over(Window.partitionBy()))
               .select("source", "target_weight", "max_repeats", "n_docs", "tokens", "wanted", "reached", F.try_divide(F.col("reached"), F.col("whole")).alias("share"),
                       F.try_divide(F.col("reached"), F.lit(float(total))).alias("share_of_total"), "unmet"))
     return copies, report
