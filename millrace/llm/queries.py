@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import canonical, garbled, groups, leaks, mixing, overlap, pieces, sampling
+from . import canonical, garbled, groups, leaks, mixing, oracles, overlap, pieces, sampling
 
 
 def _train_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -142,4 +142,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_sample, p3_report, p4_found, p4_report, p5_found, p5_restored, p6_sample, p7_found, p7_unmatched,
                                     p8_found, p8_report, p8_cleaned, p9_found, p9_report, p9_copies, p10_found, p10_pieces)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
