@@ -29,11 +29,11 @@ P3_REPORT = _P3 + """ select source, stratum, available, cast(least(ceil(needed
 _RUNS = """{0}w as (select posting_id, source_text, regexp_extract_all(lower(source_text), '[a-z0-9]+') as w from {1} where source_text is not null and posting_id is not null),
 {0}k as (select posting_id, source_text, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as runs from {0}w where len(w) >= 5),
 {0}t as (select row_number() over () as id, source_text, any_value(runs) as runs from {0}k group by source_text), {0}r as (select id, unnest(runs) as run from {0}t)"""
-P4_FOUND = f"""with {_RUNS.format('a', 'train')}, {_RUNS.format('b', 'heldout')},
-m as (select ar.id as x, br.id as y, count(*) as n from ar join br using (run) group by all),
-l as (select at_.source_text as s, bt.source_text as t from m join at at_ on at_.id = x join bt on bt.id = y where n / (len(at_.runs) + len(bt.runs) - n) >= 0.6)
+P4_FOUND = f"""with {_RUNS.format('tr_', 'train')}, {_RUNS.format('ho_', 'heldout')},
+m as (select tr_r.id as x, ho_r.id as y, count(*) as n from tr_r join ho_r using (run) group by all),
+l as (select tr_t.source_text as s, ho_t.source_text as t from m join tr_t on tr_t.id = x join ho_t on ho_t.id = y where n / (len(tr_t.runs) + len(ho_t.runs) - n) >= 0.6)
 select distinct least(a.posting_id, b.posting_id) as posting_id_a, greatest(a.posting_id, b.posting_id) as posting_id_b
-from l join ak a on a.source_text = l.s join bk b on b.source_text = l.t""".replace("join at at_", "join \"at\" at_").replace("at as (select row_number", "\"at\" as (select row_number").replace("unnest(runs) as run from at)", "unnest(runs) as run from \"at\")")
+from l join tr_k a on a.source_text = l.s join ho_k b on b.source_text = l.t"""
 
 P6_SAMPLE = "select distinct posting_id from train where posting_id is not null and cast(('0x' || substr(md5(posting_id), 1, 13)) as bigint) / pow(16, 13) < 0.1"
 
