@@ -56,7 +56,8 @@ def vote_records(df: DataFrame, id_col: str, sample: str, record: Column | None
     by = {x.path: (F.max(F.when(F.col("field") == x.path, F.col("items"))) if x.is_set else F.max(F.when(F.col("field") == x.path, F.col("value")))) for x in rec.LEAVES}
     wide = rows.groupBy("id").agg(*[c.alias(p.replace(".", "__")) for p, c in by.items()],
                                   F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "agreement")))).alias("agreement"))
-    leaves = {x.path: (F.coalesce(F.col(x.path), empty) if x.is_set else F.col(x.path.replace(".", "__"))) for x in rec.LEAVES}
+    flat = {x.path: F.col(x.path.replace(".", "__")) for x in rec.LEAVES}
+    leaves = {x.path: F.coalesce(flat[x.path], empty) if x.is_set else (flat[x.path].cast("double") if x.comparator == "numeric" else flat[x.path]) for x in rec.LEAVES}
     least = F.array_min(F.transform(F.array(*[F.lit(f) for f in HARD_FIELDS]), lambda f: F.coalesce(F.try_element_at("agreement", f), F.lit(1.0))))
     return wide.select("id", rec.nest(leaves).alias("record"), "agreement", least.alias("least_agreement"),
                        F.when(least < LEAST_AGREEMENT, "low_agreement").otherwise("ok").alias("status"))
