@@ -121,9 +121,10 @@ ARMS: dict[str, Callable] = {f.__name__: f for f in (identity, whitespace_chaos,
 def build_suite(df: DataFrame, id_col: str, text: str, gold: str, arms: dict[str, Callable] | None = None, n_per: int | None = None) -> DataFrame:
     """(id, arm, variant_id, text, gold): every row (or the first n_per by id) under every arm, by one explode."""
     rows = df if n_per is None else df.orderBy(id_col).limit(n_per)
+    rows = rows.select(F.col(id_col).alias("id"), F.col(text).alias("_text"), F.col(gold).alias("_gold"))
     variants = []
     for name, f in (arms or ARMS).items():
-        t, g = f(F.col(text), F.col(gold), F.concat_ws("|", F.col(id_col).cast("string"), F.lit(name)))
+        t, g = f(F.col("_text"), F.col("_gold"), F.concat_ws("|", F.col("id").cast("string"), F.lit(name)))
         variants.append(F.struct(F.lit(name).alias("arm"), t.alias("text"), g.alias("gold")))
-    return (rows.select(F.col(id_col).alias("id"), F.explode(F.array(*variants)).alias("v"))
+    return (rows.select("id", F.explode(F.array(*variants)).alias("v"))
             .select("id", "v.arm", F.concat(F.col("id").cast("string"), F.lit("::"), F.col("v.arm")).alias("variant_id"), "v.text", "v.gold"))

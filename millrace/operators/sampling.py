@@ -4,6 +4,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import durable
+from .order import running
+
 BUCKETS = 10_000
 CELLS = 4096
 
@@ -48,36 +51,58 @@ def quota_sample(df: DataFrame, stratum: str, shares: dict[str, float], n: int,
     return both.orderBy("_pass", order).limit(n).drop("_pass")
 
 
-def grouped_split(groups: DataFrame, key: str, size: str, first: str, n_test: int, n_val: int) -> DataFrame:
+def grouped_split(groups: DataFrame, key: str, size: str, first: str, n_test: int, n_val: int, horizon: int = 100_000) -> DataFrame:
     """(key, split): whole groups in order (`first` true before false, bucket, key); one goes to test if it fits what is
     left there, else to val if it fits there, else to train.
 
-    A group that doesn't fit is skipped, not split, so that a running sum can't tell; but once a test or val set is full
-    nothing fits any more. Only groups up to the quotas can ever fit, and the fold stops at the first `horizon` of them:
-    it goes on in steps of that many groups from where it stood until both are full or the groups end.
+    A group that doesn't fit is skipped, not split, so that a running sum alone can't tell. But as long as the running sum
+    stays under the quota by the largest group, every group fits: that bulk is cut off by one place in the order. Only the
+    groups about the end of each quota are folded one by one, `horizon` of them at a time.
     """
-    order = F.struct((~F.col(first)).alias("late"), stable_bucket(F.col(key)).alias("bucket"), F.col(key).cast("string").alias("key"), F.col(size).cast("int").alias("n"))
-    small = groups.filter(F.col(size) <= max(n_test, n_val)).select(order.alias("g"))
-    horizon = 200_000
-    placed: list[tuple[str, str]] = []
+    most = max(n_test, n_val)
+    small = groups.filter(F.col(size) <= most).select(F.struct((~F.col(first)).alias("late"), stable_bucket(F.col(key)).alias("bucket"), F.col(key).cast("string").alias("key")).alias("g"), F.col(size).cast("bigint").alias("n"))
+    small = durable(small)
+    largest = small.agg(F.max("n")).first()[0] or 0
     left = {"test": n_test, "val": n_val}
+    placed: list[tuple[str, str]] = []
+    spans: list[tuple[str, tuple | None, tuple]] = []  # split, after this place, up to this place
+
+    def place(g) -> Column:
+        return F.struct(F.lit(g[0]).alias("late"), F.lit(g[1]).alias("bucket"), F.lit(g[2]).alias("key"))
+
+    def beyond(at) -> DataFrame:
+        return small if at is None else small.filter(F.col("g") > place(at))
+
     last = None
-    while max(left.values()) > 0:
-        rows = small if last is None else small.filter(F.col("g") > last)
-        rows = rows.filter(F.col("g.n") <= max(left.values())).orderBy("g").limit(horizon).collect()
-        for r in rows:
-            for s in ("test", "val"):
-                if r.g.n <= left[s]:
-                    left[s] -= r.g.n
-                    placed.append((r.g.key, s))
+    for split in ("test", "val"):
+        room = left[split] - largest
+        if room > 0:
+            sums = running(beyond(last), ["g"], F.col("n"))
+            end = sums.filter(F.col("before") + F.col("n") <= room).agg(F.max("g").alias("g"), F.max(F.col("before") + F.col("n")).alias("sum")).first()
+            if end["g"] is not None:
+                spans.append((split, last, tuple(end["g"])))
+                left[split] -= end["sum"]
+                last = tuple(end["g"])
+        while left[split] > 0:
+            rows = beyond(last).filter(F.col("n") <= max(left.values())).orderBy("g").limit(horizon).collect()
+            for r in rows:
+                if left[split] <= 0:
                     break
-        if len(rows) < horizon:
-            break
-        g = rows[-1].g
-        last = F.struct(F.lit(g.late).alias("late"), F.lit(g.bucket).alias("bucket"), F.lit(g.key).alias("key"), F.lit(g.n).alias("n"))
-    spark = groups.sparkSession
-    held = spark.createDataFrame(placed, "_key string, split string")
-    return groups.join(held, F.col(key).cast("string") == F.col("_key"), "left").select(key, F.coalesce("split", F.lit("train")).alias("split"))
+                last = tuple(r["g"])
+                for s in ("test", "val"):
+                    if r["n"] <= left[s]:
+                        left[s] -= r["n"]
+                        placed.append((r["g"]["key"], s))
+                        break
+            if len(rows) < horizon:
+                break
+    g = F.struct((~F.col(first)).alias("late"), stable_bucket(F.col(key)).alias("bucket"), F.col(key).cast("string").alias("key"))
+    bulk = F.lit(None).cast("string")
+    for split, after, upto in spans:
+        inside = (g <= place(upto)) & (F.col(size) <= most)
+        bulk = F.when(inside if after is None else inside & (g > place(after)), F.lit(split)).otherwise(bulk)
+    held = groups.sparkSession.createDataFrame(placed, "_key string, split string")
+    return groups.join(held, F.col(key).cast("string") == F.col("_key"), "left").select(key, F.coalesce("split", bulk, F.lit("train")).alias("split"))
 
 
 def capped_minority(df: DataFrame, minority: Column, order: Column, share: float = 0.10) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records as rec
 from ..functions import text as tx
+from .order import running
 
 LOWER_IS_BETTER = ("hallucination_rate", "over_emission_rate", "mean_latency_s")
 
@@ -125,10 +126,8 @@ def rates(scored: DataFrame, by: tuple[str, ...] = (), weight: Column | None = N
 
 
 def ordinals(df: DataFrame, key: str) -> DataFrame:
-    """`df` with `_at`, 0 to n - 1 by the key, for a table of at most millions of rows."""
-    from pyspark.sql import Window
-
-    return df.withColumn("_at", F.row_number().over(Window.orderBy(key)) - 1)
+    """`df` with `_at`, 0 to n - 1 by the (unique) key."""
+    return running(df, [key], out="_at")
 
 
 def multinomial_weights(spark, n: int, replicates: int, seed: int = 17) -> DataFrame:

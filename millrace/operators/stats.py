@@ -1,10 +1,11 @@
 """Descriptive tables: counters, shares, percentiles by place, stated rates, leakage of keys, guards."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import records as rec
+from .order import running
 
 
 def counter(df: DataFrame, *keys: str) -> DataFrame:
@@ -19,15 +20,14 @@ def share(df: DataFrame, condition: Column, *by: str) -> DataFrame:
 def place_percentiles(df: DataFrame, value: str, qs: tuple[float, ...]) -> DataFrame:
     """(q, value): the value at place min(n - 1, int(q n)) of the sorted values, which isn't percentile_disc.
 
-    Values are counted first; running counts go over the different values only, cut into ranges by a
-    histogram, so that no task sorts all rows.
+    Values are counted first; running counts go over the different values, range by range.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    n = counts.agg(F.sum("n").alias("total"))
-    spans = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v"))).withColumn("before", F.col("upto") - F.col("n"))
+    spans = running(counts, ["v"], F.col("n"))
+    total = counts.agg(F.sum("n").alias("total"))
     wanted = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.least(F.col("total") - 1, F.floor(F.lit(q) * F.col("total"))).alias("place")) for q in qs])).alias("w")
-    places = n.select(wanted).select("w.*")
-    return spans.join(F.broadcast(places), (F.col("place") >= F.col("before")) & (F.col("place") < F.col("upto"))).select("q", F.col("v").alias("value"))
+    places = total.select(wanted).select("w.*")
+    return spans.join(F.broadcast(places), (F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("n"))).select("q", F.col("v").alias("value"))
 
 
 def stated_rates(df: DataFrame, by: str, record: Column | None = None) -> DataFrame:
