@@ -83,26 +83,51 @@ class Canonicalizer:
         node.setdefault("", set()).add(key)
 
     def near(self, text: str, limit: int) -> list[tuple[int, str]]:
-        """Every (edits, key) of the entries within `limit` edits, nearest first."""
+        """Every (edits, key) of the entries within `limit` edits, nearest first.
+
+        A state of the automaton is the band of edit distances around the diagonal: of a node at depth d the
+        distances to the first d - limit ... d + limit letters of the text; all others are over the limit.
+        """
         found: dict[str, int] = {}
-        first = list(range(len(text) + 1))
-        stack = [(self.trie, "", first, None)]
+        n, over = len(text), limit + 1
+        width = 2 * limit + 1
+        # band[j] is the distance to the first depth - limit + j letters
+        first = [over if j < limit else min(j - limit, over) for j in range(width)]
+        stack = [(self.trie, "", 0, first, None)]
         while stack:
-            node, last, row, before = stack.pop()
-            if row[-1] <= limit:
-                for key in node.get("", ()):
-                    found[key] = min(found.get(key, limit), row[-1])
+            node, last, depth, band, before = stack.pop()
+            end = n - depth + limit
+            keys = node.get("")
+            if keys and 0 <= end < width and band[end] <= limit:
+                for key in keys:
+                    if band[end] < found.get(key, over):
+                        found[key] = band[end]
+            start = depth + 1 - limit
             for c, child in node.items():
                 if not c:
                     continue
-                new = [row[0] + 1]
-                for i, t in enumerate(text):
-                    d = min(new[i] + 1, row[i + 1] + 1, row[i] + (t != c))
-                    if before is not None and i and t == last and text[i - 1] == c:
-                        d = min(d, before[i - 1] + 1)
+                new, least = [], over
+                for j in range(width):
+                    i = start + j
+                    if i < 0 or i > n:
+                        new.append(over)
+                        continue
+                    d = band[j + 1] + 1 if j + 1 < width else over
+                    if i:
+                        if j and new[j - 1] + 1 < d:
+                            d = new[j - 1] + 1
+                        x = band[j] + (text[i - 1] != c)
+                        if x < d:
+                            d = x
+                        if before is not None and i > 1 and text[i - 1] == last and text[i - 2] == c and before[j] + 1 < d:
+                            d = before[j] + 1
+                    if d > over:
+                        d = over
                     new.append(d)
-                if min(new) <= limit or (before is not None and min(row) <= limit):
-                    stack.append((child, c, new, row))
+                    if d < least:
+                        least = d
+                if least <= limit or (before is not None or depth == 0) and min(band) <= limit:
+                    stack.append((child, c, depth + 1, new, band))
         return sorted((d, k) for k, d in found.items())
 
     def _forms(self, value: str):
