@@ -32,6 +32,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(df, **columns: Column):
+    """`df` with columns that later filters and projections use without working them out again.
+
+    The optimizer copies an expression into every filter it pushes down; it doesn't push through a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -49,9 +57,15 @@ def undo_misreading(text: Column) -> Column:
     return text
 
 
+def _where_found(text: Column, mark: str, change) -> Column:
+    """change(text) only where the text has the mark without which nothing changes; the pattern isn't run on others."""
+    return let(text, lambda t: F.when(F.contains(t, F.lit(mark)), change(t)).otherwise(t))
+
+
 def mask_contacts(text: Column) -> Column:
     """URLs and mail addresses replaced by [URL] and [EMAIL]."""
-    return F.regexp_replace(F.regexp_replace(text, URL, "[URL]"), EMAIL, "[EMAIL]")
+    text = _where_found(text, "://", lambda t: F.regexp_replace(t, URL, "[URL]"))
+    return _where_found(text, "@", lambda t: F.regexp_replace(t, EMAIL, "[EMAIL]"))
 
 
 def contact_counts(text: Column) -> tuple[Column, Column]:
@@ -94,8 +108,8 @@ def mentions_deadline(text: Column, pattern: str = DEADLINE) -> Column:
 
 def stratum(text: Column, salary: str = SALARY, deadline: str = DEADLINE) -> Column:
     """salary+deadline, salary, deadline or plain, by what a text mentions; the patterns are parameters."""
-    s, d = text.rlike(salary), text.rlike(deadline)
-    return F.when(s & d, "salary+deadline").when(s, "salary").when(d, "deadline").otherwise("plain")
+    found = F.struct(text.rlike(salary).alias("s"), text.rlike(deadline).alias("d"))
+    return let(found, lambda f: F.when(f["s"] & f["d"], "salary+deadline").when(f["s"], "salary").when(f["d"], "deadline").otherwise("plain"))
 
 
 def content_hash(text: Column) -> Column:
@@ -174,18 +188,25 @@ def extract_record(text: Column) -> Column:
 
 
 def _extract(text: Column, low: Column) -> Column:
+    """Everything that several leaves use is worked out once: what the patterns match, then pay, years and title."""
+    found = F.struct(*[F.regexp_extract(text, MONEY, g).alias(n) for g, n in ((1, "cur"), (2, "amount"), (3, "kilo"))],
+                     F.regexp_extract(text, YEARS, 1).try_cast("int").alias("years"), strip(F.substring(F.substring_index(text, "\n", 1), 1, 80)).alias("title"))
+    return let(found, lambda f: let(_pay(f), lambda pay: _leaves(low, f, pay)))
+
+
+def _pay(f: Column) -> Column:
+    value = F.replace(f["amount"], F.lit(","), F.lit("")).try_cast("double") * F.when(f["kilo"] != "", 1000.0).otherwise(1.0)
+    return F.when(((f["cur"] != "") | (f["kilo"] != "")) & (value > 0) & (value < 1e9), value)
+
+
+def _leaves(low: Column, f: Column, pay: Column) -> Column:
     def has(word: str) -> Column:
         return F.contains(low, F.lit(word))
 
-    cur, amount, kilo = (F.regexp_extract(text, MONEY, g) for g in (1, 2, 3))
-    stated = (cur != "") | (kilo != "")
-    value = F.replace(amount, F.lit(","), F.lit("")).try_cast("double") * F.when(kilo != "", 1000.0).otherwise(1.0)
-    pay = F.when(stated & (value > 0) & (value < 1e9), value)
+    cur, years, title = f["cur"], f["years"], f["title"]
     code = F.when(cur == "£", "GBP").when(cur == "€", "EUR").when(cur == "₹", "INR").when(F.upper(cur).isin("USD", "GBP", "EUR", "INR"), F.upper(cur)).otherwise("USD")
-    years = F.regexp_extract(text, YEARS, 1).try_cast("int")
-    title = strip(F.substring(F.substring_index(text, "\n", 1), 1, 80))
-    skills = F.filter(F.array(*[F.lit(w) for w in sorted(VOCABULARY)]), lambda w: F.contains(low, w))
-    perks = F.filter(F.array(*[F.lit(w) for w in sorted(BENEFITS)]), lambda w: F.contains(low, w))
+    skills = F.filter(F.array(*[F.when(has(w), F.lit(w)) for w in sorted(VOCABULARY)]), lambda w: w.isNotNull())
+    perks = F.filter(F.array(*[F.when(has(w), F.lit(w)) for w in sorted(BENEFITS)]), lambda w: w.isNotNull())
     return F.struct(
         F.when(title == "", "unknown").otherwise(title).alias("job_title"),
         F.when(has("remote"), "remote").when(has("hybrid"), "hybrid").alias("remote_policy"),

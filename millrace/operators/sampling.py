@@ -44,11 +44,11 @@ def quota_sample(df: DataFrame, stratum: str, shares: dict[str, float], n: int,
     """n rows: of each stratum the first round(n x share) (half to even) in hash order, then the next of all to make up n."""
     quota = F.coalesce(*[F.when(F.col(stratum) == s, F.lit(round(n * share))) for s, share in shares.items()], F.lit(0))
     order = hash_order(F.col(id_col), seed)
-    chosen = first_of_group(df, [stratum], order, quota)
-    left = df.join(chosen.select(id_col), id_col, "left_anti")
-    fill = prefix(left.withColumn("_pass", F.lit(1)), [order], n)
-    both = chosen.withColumn("_pass", F.lit(0)).unionByName(fill)
-    return both.orderBy("_pass", order).limit(n).drop("_pass")
+    keys = durable(df.select(id_col, stratum))
+    chosen = durable(first_of_group(keys, [stratum], order, quota).withColumn("_pass", F.lit(0)))
+    fill = prefix(keys.join(chosen.select(id_col), id_col, "left_anti").withColumn("_pass", F.lit(1)), [order], n)
+    picked = chosen.unionByName(fill).orderBy("_pass", order).limit(n).select(id_col)
+    return df.join(picked, id_col, "left_semi")
 
 
 def grouped_split(groups: DataFrame, key: str, size: str, first: str, n_test: int, n_val: int, horizon: int = 100_000) -> DataFrame:

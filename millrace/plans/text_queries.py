@@ -27,7 +27,8 @@ def raw(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return raw(spark, d).select("row_id", "source", "posting_id", tx.clean_text(F.col("text")).alias("text"))
+    rows = raw(spark, d).select("row_id", "source", "posting_id", F.col("text").alias("raw"))
+    return tx.once(rows, text=tx.clean_text(F.col("raw"))).drop("raw")
 
 
 CLEANED = f"(select row_id, source, posting_id, {s.clean('text')} as text from raw_postings)"
