@@ -23,8 +23,16 @@ BLOCKS = ((0x00A0, 0x017F), (0x0218, 0x021B), (0x0386, 0x03CE), (0x0401, 0x045F)
           (0x2605, 0x2606), (0x2610, 0x2612), (0x2713, 0x2718), (0x3000, 0x30FF), (0xFB01, 0xFB02), (0xFEFF, 0xFEFF), (0xFFFD, 0xFFFD), (0x1F300, 0x1F64F))
 #: Lossless twice-over readings.
 TWICE = ("cp1252", "latin-1")
-# Sequences that also stand in correct text; they count beside other garbling or before a small letter only.
-WEAK = frozenset(("À\xa0", "В\xa0", "В°", "В»", "В«", "É…", "É“", "É”", "Ö“", "Ü“", "Ñ”", "Ä…", "Ä“", "Ä”", "Å™", "Å“", "Ç”", "Í»", "Â»", "Â«"))
+# Sequences that also stand in correct text, at the end of a word in capitals or of a Cyrillic one-letter word.
+WEAK = frozenset(("В\xa0", "В»", "В«", "É…", "É“", "É”", "Ö“", "Ü“", "Ñ”", "Ä…", "Ä“", "Ä”", "Å“", "Ç”", "Í»", "Â»", "Â«"))
+_CYRILLIC = re.compile("[Ѐ-ӿ]")
+
+
+def _plain_here(text: str, a: int, b: int) -> bool:
+    """Is a weak sequence correct text where it stands."""
+    if text[a] == "В":
+        return bool(_CYRILLIC.match(text, b) or (a and _CYRILLIC.match(text, a - 1)))
+    return a > 0 and text[a - 1].isupper() and not text[b : b + 1].islower()
 
 
 def _misread(data: bytes, wrong: str) -> list[str]:
@@ -113,7 +121,7 @@ def spans(text: str) -> list[tuple[int, int, str | None]]:
     weak = []
     for stop, (n, c) in _automaton().iter_long(text):
         a, b = stop - n + 1, stop + 1
-        (weak if text[a:b] in WEAK and not text[b : b + 1].islower() else found).append((a, b, c or None))
+        (weak if text[a:b] in WEAK and _plain_here(text, a, b) else found).append((a, b, c or None))
     if found:
         found, weak = found + weak, []
     taken = bytearray(len(text))
