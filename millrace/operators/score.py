@@ -122,6 +122,13 @@ def rates(scored: DataFrame, by: tuple[str, ...] = (), weight: Column | None = N
         share(F.col("n_correct_null"), F.col("n_gold_null")).alias("null_recall"))
 
 
+def exact_leaf_rate(pairs: DataFrame, gold: str, pred: str) -> DataFrame:
+    """(n, hits, rate): leaves that are the same as text, over all leaves; a null prediction misses all of them."""
+    g, p = F.col(gold), F.col(pred)
+    hits = F.when(p.isNotNull(), sum((rec.value_key(rec.leaf(g, x.path), x).eqNullSafe(rec.value_key(rec.leaf(p, x.path), x)).cast("int") for x in rec.LEAVES), F.lit(0))).otherwise(0)
+    return pairs.agg((F.count("*") * len(rec.LEAVES)).alias("n"), F.coalesce(F.sum(hits), F.lit(0)).alias("hits")).withColumn("rate", F.try_divide(F.col("hits"), F.col("n")))
+
+
 # ---- resampling ---------------------------------------------------------------------------------
 
 

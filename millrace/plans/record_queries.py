@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonx
 from ..functions import records as rec
 from ..functions import text as tx
-from ..operators import audit, perturb, score, stats, vote
+from ..operators import audit, infer, perturb, score, stats, vote
 from ..runtime import durable, table
 from ..sources import files
 from ..streaming import incremental
@@ -452,6 +452,40 @@ def comparison_matrix(spark, d):
     return score.comparison(runs)
 
 
+_KEYS = {x.path: (f"(list_sort(list_distinct({{}})))" if x.is_set else "{}") for x in rec.LEAVES}
+_HITS = " + ".join(f"cast({_KEYS[p].format(_G[p])} is not distinct from {_KEYS[p].format(_P[p])} as integer)" for p in _COLS)
+
+
+@query(f"with {_PAIRS}, h as (select case when parsed then {_HITS} else 0 end as h from pairs) select count(*) * 18 as n, cast(sum(h) as bigint) as hits, round(sum(h) / (count(*) * 18), 9) as rate from h")
+def exact_leaf_rate(spark, d):
+    return score.exact_leaf_rate(pairs(spark, d), "gold", "pred").withColumn("rate", F.round("rate", 9))
+
+
+@query(f"""with {_PAIRS}, f as ({_FIELD_ROWS}), a as (select field, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn from f where field in ({", ".join(s.q(x) for x in perturb.TAIL_FIELDS)}) group by 1)
+select round(avg({_F1}), 9) as restricted_macro_f1 from a""")
+def restricted_macro(spark, d):
+    out = score.restricted_macro(score.field_counts(scored(spark, d)), list(perturb.TAIL_FIELDS))
+    return out.select(F.round("restricted_macro_f1", 9).alias("restricted_macro_f1"))
+
+
+def _first_words():
+    return lambda texts: [t.strip()[:40].upper() for t in texts]
+
+
+@query("select row_id, text is not null as answered, cast(null as varchar) as error from raw_postings")
+def model_outputs(spark, d):
+    """Batched calls of a stand-in model, packed by cost."""
+    out = infer.generate(table(spark, d, "raw_postings"), "row_id", "text", _first_words)
+    return out.select(F.col("id").alias("row_id"), F.col("output").isNotNull().alias("answered"), "error")
+
+
+@query("""select case when status = 'ok' and target_json is null then 'transient' when status = 'low_agreement' then 'transient' when target_json is null then 'transient' else 'ok' end as verdict, count(*) as n from train group by 1""")
+def completion_verdicts(spark, d):
+    """Completions by whether another attempt could help."""
+    t = table(spark, d, "train").select(F.when(F.col("status") == "low_agreement", "length").otherwise("stop").alias("finish"), jsonx.parse_record()(F.col("target_json")).alias("p"))
+    return t.groupBy(infer.verdict(F.col("finish"), F.col("p.error_kind")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
 # ---- perturbations ------------------------------------------------------------------------------
 
 _ARM_SQL = {

@@ -111,6 +111,24 @@ def load_run(spark: SparkSession, spec: str) -> tuple[str, dict[str, DataFrame]]
     return label, {t: spark.read.parquet(f"{folder}/{t}") for t in RUN_TABLES}
 
 
+def rehydrate(tables: dict[str, DataFrame], key: str, raw: str, gold: str) -> DataFrame:
+    """The pairs of a stored run with both sides parsed again: key, gold and pred records (null where unparsed)."""
+    from ..functions import jsonx
+    from ..functions import records as rec
+
+    rows = tables["per_example"].select(key, jsonx.parse_record()(F.col(gold)).alias("_g"), jsonx.parse_record()(F.col(raw)).alias("_p"))
+    return rows.select(key, rec.from_json(F.col("_g.record_json")).alias("gold"), rec.from_json(F.col("_p.record_json")).alias("pred"))
+
+
+def with_sidecar(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """`df` with values of a small JSON file beside a model, as text; null where the file or a key is missing."""
+    found = {}
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)
+    return df.select("*", *[F.lit(None if found.get(k) is None else str(found[k])).alias(k) for k in keys])
+
+
 def load_settings(path: str, environment: dict[str, str] | None = None) -> dict[str, str]:
     """KEY=VALUE lines without comments and quotes; the environment wins; placeholders count as not set."""
     out: dict[str, str] = {}
