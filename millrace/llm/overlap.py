@@ -5,7 +5,10 @@
 2. Each distinct text gets a bit fingerprint: the lowest bits of min-hashes over its other runs.
    The min-hashes are cut into segments; segments equal across the two sides make a candidate, kept
    if the fingerprints lie within a Hamming radius.
-3. Every candidate is verified on the whole texts: shared runs / runs that either has.
+3. Texts of which stock is so large a part that a pair could reach the threshold by it also emit the
+   first of all their runs by rarity, as many as any such pair must share one of (prefix filter): an
+   exact path for near copies of which there are very many.
+4. Every candidate is verified on the whole texts: shared runs / runs that either has.
 
 A plain sign-of-sum fingerprint is not used: at 60 % shared runs it differs in about 23 % of its
 bits, so that blocks selective enough for millions of texts (17 bits) would need some 390 tables for
@@ -22,14 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.wordcodes import chunks, distinct_by_row, mix, shingles, words
+from ..functions.wordcodes import chunks, distinct_by_row, leading, mix, shingles, words
 from ..runtime import durable, ship
 
 FINGERPRINT_BITS = 64
+#: Keeps the keys of the exact path apart from segments.
+PREFIX = 0x51ED270B6C1B2F2D
 #: A run is stock when it stands in more than this share of the texts (and in at least STOCK_LEAST).
 STOCK_SHARE, STOCK_LEAST = 0.002, 30
-#: Texts with fewer other runs than this are compared on all their runs too, in longer segments.
-FEW_RUNS = 16
+#: Fingerprints find the pairs that share at least the threshold less this of their other runs; the exact path finds the rest.
+MARGIN = 0.1
+#: Rarity is known down to this part of the counts of stock; it only keeps the exact path's candidates few.
+RARER = 16
+#: So many of the first runs must be common on the exact path, where the lengths of a pair allow to ask for them.
+COMMON = 4
 
 
 def _lossy_counts(k: int, error: float):
@@ -54,18 +63,21 @@ def _lossy_counts(k: int, error: float):
     return run
 
 
-def stock_runs(texts: DataFrame, text: str, k: int = 5, share: float = STOCK_SHARE, least: int = STOCK_LEAST) -> np.ndarray:
-    """Hashes of the runs of k words that more than `share` of all texts hold.
+def common_runs(texts: DataFrame, text: str, k: int = 5, share: float = STOCK_SHARE, least: int = STOCK_LEAST) -> tuple[np.ndarray, np.ndarray, float]:
+    """(hashes, counts, floor): the runs of k words that more than 1 / RARER of `floor` texts hold, by hash;
+    those that `floor` texts hold, more than `share` of all, are stock.
 
     All texts are counted. A run under a quarter of `share` within a partition may be missed there,
-    so that a returned count is short by at most share / 4 of the texts. At most (runs per text) /
+    so that a returned count is short by at most share / 4 of the texts. At most RARER (runs per text) /
     (0.75 share) runs can qualify, whatever the size of the data; that bounds what comes back.
     """
     ship(texts.sparkSession)
     floor = max(least, share * 0.75 * texts.count())
     counted = texts.select(text).mapInArrow(_lossy_counts(k, share / 4), "code long, n long")
-    rows = counted.groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= floor).select("code").collect()
-    return np.sort(np.array([r.code for r in rows], np.int64).view(np.uint64))
+    rows = counted.groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= floor / RARER).collect()
+    codes = np.array([r.code for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(codes)
+    return codes[order], np.array([r.n for r in rows], np.int64)[order], floor
 
 
 def _perms(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,38 +108,48 @@ def _segments(minima: np.ndarray, width: int, tables: int, tag: int) -> np.ndarr
     return out
 
 
-def _fingerprints(k: int, stock: np.ndarray, width: int, tables: int):
+def _fingerprints(k: int, common: np.ndarray, counts: np.ndarray, floor: float, width: int, tables: int, threshold: float):
     n = max(width * tables, FINGERPRINT_BITS)
 
-    def emit(cls, rows, minima, width, tag):
+    def emit(cls, rows, minima):
         bits = (minima[:, :FINGERPRINT_BITS] >> np.uint64(13)) & np.uint64(1)
         fp = (bits << np.arange(FINGERPRINT_BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        keys = _segments(minima, width, tables, tag)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(cls[rows], tables)), pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fp, tables).view(np.int64))],
-            ["cls", "segment", "fingerprint"])
+        keys = _segments(minima, width, tables, 0)
+        return batch_of(cls[np.repeat(rows, tables)], keys.ravel(), np.repeat(fp, tables).view(np.int64), np.zeros(keys.size, np.int32))
+
+    def batch_of(cls, keys, fp, runs):
+        return pa.RecordBatch.from_arrays([pa.array(cls), pa.array(keys.view(np.int64)), pa.array(fp), pa.array(runs, pa.int32())], ["cls", "segment", "fingerprint", "runs"])
 
     def run(batches):
         for batch in batches:
+            _, once = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
+            batch = batch.take(pa.array(np.sort(once)))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at, part in chunks(batch.column(1)):
                 cls = ids[at : at + len(part)]
                 h, rows, *_ = words(part)
                 codes, rows, _ = shingles(h, rows, k)
-                if len(stock):
-                    spot = np.minimum(np.searchsorted(stock, codes), len(stock) - 1)
-                    rare = stock[spot] != codes
-                else:
-                    rare = np.ones(len(codes), bool)
+                codes, rows = distinct_by_row(codes, rows)
+                if not len(codes):
+                    continue
+                weights = np.zeros(len(codes), np.int64)
+                if len(common):
+                    spot = np.minimum(np.searchsorted(common, codes), len(common) - 1)
+                    weights = np.where(common[spot] == codes, counts[spot], 0)
+                rare = weights < floor
                 r, m = _minima(codes[rare], rows[rare], n)
                 if len(r):
-                    yield emit(cls, r, m, width, 0)
-                u, urows = distinct_by_row(codes[rare], rows[rare])
-                few = np.bincount(urows, minlength=len(part))[rows] < FEW_RUNS
-                if few.any():
-                    r, m = _minima(codes[few], rows[few], 2 * n)
-                    if len(r):
-                        yield emit(cls, r, m, 2 * width, 1)
+                    yield emit(cls, r, m)
+                # A pair of similarity t or more, but under t - MARGIN over the rare runs, shares over t of the stock runs
+                # that either has: with (1 - t) stock >= MARGIN rare over both, and both texts' own runs bound these.
+                n_rare = np.bincount(rows[rare], minlength=len(part))
+                n_stock = np.bincount(rows, minlength=len(part)) - n_rare
+                mixed = (n_stock > 0) & ((1 - threshold) / threshold * n_stock >= MARGIN * n_rare - 1e-9)
+                chosen = mixed[rows]
+                if chosen.any():
+                    codes, rows, weights = codes[chosen], rows[chosen], weights[chosen]
+                    i, place, runs = leading(codes, rows, weights, threshold)
+                    yield batch_of(cls[rows[i]], mix(codes[i] ^ np.uint64(PREFIX)), place.astype(np.int64), runs)
     return run
 
 
@@ -159,15 +181,23 @@ def class_links(a: DataFrame, b: DataFrame, text: str, *, k: int = 5, threshold:
     spark = a.sparkSession
     ship(spark)
     a, b = (side.select(F.col(text).alias("text")).filter("text is not null") for side in (a, b))
-    stock = stock_runs(a.unionByName(b), "text", k)
+    common, counts, floor = common_runs(a.unionByName(b), "text", k)
 
     def codes(side: DataFrame) -> DataFrame:
+        # copies fold within a batch; placed by segment, so that the join moves nothing again
         rows = side.select(F.xxhash64("text").alias("cls"), "text")
-        return rows.mapInArrow(_fingerprints(k, stock, width, tables), "cls long, segment long, fingerprint long").distinct()
-
-    x, y = (codes(s).select(F.col("cls").alias(f"cls_{n}"), "segment", F.col("fingerprint").alias(f"fp_{n}")) for s, n in ((a, "a"), (b, "b")))
-    near = (x.join(y, "segment").filter(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= radius)
-            .select("cls_a", "cls_b").distinct())
+        return rows.mapInArrow(_fingerprints(k, common, counts, floor, width, tables, threshold), "cls long, segment long, fingerprint long, runs int").repartition("segment").distinct()
+
+    x, y = (codes(s).select(F.col("cls").alias(f"cls_{n}"), "segment", F.col("fingerprint").alias(f"fp_{n}"), F.col("runs").alias(f"runs_{n}")) for s, n in ((a, "a"), (b, "b")))
+    # On the exact path the fingerprint is a run's place. A similar pair shares `shared` runs or more, all but `rest` of
+    # them among the first of both; from the m-th common run on, shared - m + 1 runs must be left in both.
+    shared = (F.col("runs_a") + F.col("runs_b")) * (threshold / (1 + threshold))
+    left = F.least(F.col("runs_a") - F.col("fp_a"), F.col("runs_b") - F.col("fp_b"))
+    alike = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= radius
+    met = x.join(y, "segment").filter(F.when(F.col("runs_a") == 0, alike).otherwise(left >= shared - (COMMON - 1) - 1e-6))
+    rest = F.ceil(threshold * F.greatest("runs_a", "runs_b") - 1e-9) - 1
+    near = (met.groupBy("cls_a", "cls_b").agg(F.max("runs_a").alias("runs_a"), F.max("runs_b").alias("runs_b"), F.bool_or(F.col("runs_a") == 0).alias("alike"), F.count("*").alias("n"))
+            .filter(F.col("alike") | (F.col("n") >= F.least(F.lit(COMMON), shared - rest - 1e-6))).select("cls_a", "cls_b"))
     near = durable(near)
 
     def wanted(side: DataFrame, n: str) -> DataFrame:

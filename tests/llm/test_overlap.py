@@ -69,3 +69,29 @@ def test_report(spark):
     pairs = spark.createDataFrame([("x", "1", 1.0), ("y", "1", 0.7)], "id_a string, id_b string, similarity double")
     got = {(r.split, r.source): (r.n_records, r.n_leaked, r.n_pairs, r.n_same) for r in overlap.overlap_report(pairs, b, "id", "split", "source").collect()}
     assert got == {("val", "s"): (2, 1, 2, 1), ("test", None): (1, 0, 0, 0)}
+
+
+def test_near_copies_of_a_third_of_the_rows(spark):
+    """All runs that such pairs share are held by very many texts."""
+    rng = random.Random(7)
+    base = [f"base{i}" for i in range(200)]
+
+    def side(name):
+        out = [(f"{name}-same", " ".join(base))]
+        for i in range(39):
+            v = list(base)
+            for at in range(i % 20 + 5, 200, 48):
+                v[at] = f"{name}{i}x{at}"
+            out.append((f"{name}{i}", " ".join(v)))
+        # half stock, and the other half shared in part
+        half = [f"own{j}" for j in range(90)]
+        for i in range(6):
+            own = [f"{name}{i}y{j}" if j % 30 == 7 + i else w for j, w in enumerate(half)]
+            out.append((f"{name}-half{i}", " ".join(base[:100] + own)))
+        return out + [(f"{name}-other{i}", " ".join(rng.choices(WORDS, k=80))) for i in range(80)]
+
+    a, b = side("a"), side("b")
+    want = brute(a, b)
+    shape = "id string, text string"
+    got = {(r.id_a, r.id_b) for r in overlap.overlaps(spark.createDataFrame(a, shape), spark.createDataFrame(b, shape), "id", "text").collect()}
+    assert len(want) > 1500 and got == want
