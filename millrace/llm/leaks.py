@@ -5,8 +5,8 @@ holds; documents are scanned chunk-wise for windows that hit it. Where so many w
 stretch must hit lie close together, the words there are aligned with the item's, and a stretch counts that has enough
 of the item's words in order with no more than single words changed, left out or added in between.
 
-Stock sentences do not count: n-grams of `STOCK_GRAM` words that several items share, or that more than
-a set share of all documents hold (counted over all documents).
+Stock sentences do not count: n-grams of `STOCK_GRAM` words that several different items share (over all
+blocks), or that more than a set share of all different documents hold. Copies count once in both.
 """
 from __future__ import annotations
 
@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.wordcodes import chunks, distinct_by_row, shingles, words
+from ..functions.wordcodes import chunks, distinct_by_row, mix, shingles, words
 from ..runtime import ship
 
 SEED_GRAM = 4
 STOCK_GRAM = 8
-#: An n-gram is stock if so many items hold it, or more than this share of the documents (and so many at least).
+#: An n-gram is stock if so many different items hold it, or more than this share of the different documents (and so many at least).
 STOCK_ITEMS, STOCK_SHARE, STOCK_LEAST = 4, 0.02, 50
 #: Items are held by the tasks in blocks of at most so many words.
 BLOCK_WORDS = 2_000_000
@@ -56,21 +56,52 @@ class _Set:
         return maybe[sure], at[sure]
 
 
-def _document_counts(codes: np.ndarray):
+def _text_classes(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the sequence of words of each of n texts, whatever the layout."""
+    out = np.zeros(n, np.uint64)
+    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, np.int64)
+    if len(starts):
+        place = np.arange(len(hashes)) - np.repeat(starts, np.diff(np.r_[starts, len(hashes)]))
+        out[rows[starts]] = np.add.reduceat(mix(hashes ^ mix(place.astype(np.uint64) + np.uint64(1))), starts)
+    return out
+
+
+def _item_grams(batches):
+    for batch in batches:
+        for _, part in chunks(batch.column(0)):
+            h, rows, *_ = words(part)
+            codes, owner, _ = shingles(h, rows, STOCK_GRAM)
+            cls = _text_classes(h, rows, len(part))
+            yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(cls[owner].view(np.int64))], ["code", "cls"])
+
+
+def _document_grams(codes: np.ndarray):
+    """(code, cls) of each document that holds one of `codes`; a document's class is the least of its n-grams'
+    hashes, so that copies with small edits are mostly one class. Code null: every class once."""
     def run(batches):
-        known, total = _Set(codes), np.zeros(len(codes), np.int64)
+        known = _Set(codes)
         for batch in batches:
             for _, part in chunks(batch.column(0)):
                 h, rows, *_ = words(part)
                 found, rows, _ = shingles(h, rows, STOCK_GRAM)
+                if not len(found):
+                    continue
+                first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+                cls = np.zeros(len(part), np.uint64)
+                cls[rows[first]] = np.minimum.reduceat(mix(found), first)
                 places, at = known.hits(found)
-                at, _ = distinct_by_row(at.astype(np.uint64), rows[places])
-                total += np.bincount(at.astype(np.int64), minlength=len(codes))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(known.codes[some].view(np.int64)), pa.array(total[some])], ["code", "n"])
+                at, owner = distinct_by_row(at.astype(np.uint64), rows[places])
+                held = pa.array(known.codes[at.astype(np.int64)].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([held, pa.nulls(len(first), pa.int64())]), pa.array(np.r_[cls[owner], cls[rows[first]]].view(np.int64))], ["code", "cls"])
     return run
 
 
+def _shared_grams(items: DataFrame) -> set[int]:
+    """The n-grams that STOCK_ITEMS different items hold, over all blocks."""
+    grams = items.select("text").mapInArrow(_item_grams, "code long, cls long").distinct()
+    return {r.code % (1 << 64) for r in grams.groupBy("code").count().filter(F.col("count") >= STOCK_ITEMS).select("code").collect()}
+
+
 @dataclass
 class Items:
     """Items of one block: their words, with stock words masked."""
@@ -91,16 +122,16 @@ class Items:
         return codes, first
 
 
-def _load(documents: DataFrame, text: str, rows: list) -> Items:
+def _load(documents: DataFrame, text: str, rows: list, shared: set[int]) -> Items:
     texts = [r.text or "" for r in rows]
     codes, owner, first = _grams(STOCK_GRAM, texts)
-    pairs = np.unique(np.stack([codes, owner.astype(np.uint64)]), axis=1) if len(codes) else np.zeros((2, 0), np.uint64)
-    distinct, n_items = np.unique(pairs[0], return_counts=True)
-    stock = set(distinct[n_items >= STOCK_ITEMS].tolist())
-    if len(distinct):
-        counted = documents.select(F.col(text).alias("text")).mapInArrow(_document_counts(distinct), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-        floor = max(STOCK_LEAST, STOCK_SHARE * documents.count())
-        stock |= {r.code % (1 << 64) for r in counted.filter(F.col("n") > floor).collect()}
+    stock = shared
+    others = np.unique(np.array([c for c in codes.tolist() if c not in shared], np.uint64))
+    if len(others):
+        held = documents.select(F.col(text).alias("text")).mapInArrow(_document_grams(others), "code long, cls long").distinct()
+        counts = {r.code: r.n for r in held.groupBy("code").agg(F.count("*").alias("n")).filter(F.col("code").isNull() | (F.col("n") > STOCK_LEAST)).collect()}
+        floor = max(STOCK_LEAST, STOCK_SHARE * counts.get(None, 0))
+        stock = shared | {c % (1 << 64) for c, n in counts.items() if c is not None and n > floor}
     masks = [[False] * len(_WORD.findall(t)) for t in texts]
     for c, i, p in zip(codes.tolist(), owner.tolist(), first.tolist()):
         if c in stock:
@@ -241,11 +272,12 @@ def leaked_spans(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_i
     size = chosen.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
     blocks = size // BLOCK_WORDS + 1
     kind = documents.select(doc_id).schema[0].dataType.simpleString()
+    shared = _shared_grams(chosen)
     found = None
     for k in range(blocks):
         rows = chosen.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).orderBy("id").collect()
         one = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-            _finder(_load(documents, text, rows), least, slack, near), f"doc_id {kind}, item_id long, n_words int, start_char int, end_char int")
+            _finder(_load(documents, text, rows, shared), least, slack, near), f"doc_id {kind}, item_id long, n_words int, start_char int, end_char int")
         found = one if found is None else found.unionByName(one)
     return found
 

@@ -50,3 +50,13 @@ def test_empty(spark):
     e = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert leaks.leaked_spans(d, e).count() == 0
     assert leaks.leaked_spans(spark.createDataFrame([(1, "x y")], "doc_id long, text string"), e.limit(0)).count() == 0
+
+
+def test_much_copied_leak_is_reported_for_every_copy(spark):
+    """Copies of one leaking document, a few of them in other layout, don't make its passage stock; nor do copies of an item."""
+    text = doc(item(0))
+    docs = [(i, text if i % 3 else text.upper().replace(" ", "\n")) for i in range(80)] + [(100 + i, doc()) for i in range(100)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    e = spark.createDataFrame([*ITEMS, *((50 + i, item(0)) for i in range(4))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks.leaked_spans(d, e).collect()}
+    assert got == {(i, j) for i in range(80) for j in (0, 50, 51, 52, 53)}
