@@ -182,7 +182,7 @@ def _stretches(doc: list[str], item: list[str], stock: list[bool], slack: int):
 
 
 def _needed_hits(items: Items, least: int) -> np.ndarray:
-    """For each item the seeds that a stretch of `least` words hits at the least.
+    """For each item the seeds that a stretch of `least` words or more hits at the least.
 
     With n words matched and at most n / MATCHED_PER_CHANGE changes and the item's stock runs in between, the words lie in
     that many runs and one more; a run of r words holds r - SEED_GRAM + 1 seeds.
@@ -190,8 +190,9 @@ def _needed_hits(items: Items, least: int) -> np.ndarray:
     out = []
     for mask in items.stock:
         breaks = sum(1 for i, m in enumerate(mask) if m and (i == 0 or not mask[i - 1]))
-        runs = int(least / MATCHED_PER_CHANGE) + 1 + breaks
-        out.append(max(1, least - (SEED_GRAM - 1) * runs))
+        # a longer stretch may have more changes and so hit fewer seeds: the least over all lengths, which recurs with a change more
+        fewest = min(n - (SEED_GRAM - 1) * (int(n / MATCHED_PER_CHANGE) + 1 + breaks) for n in range(least, least + 2 * int(MATCHED_PER_CHANGE + 1)))
+        out.append(max(1, fewest))
     return np.array(out, np.int64)
 
 

@@ -60,3 +60,13 @@ def test_much_copied_leak_is_reported_for_every_copy(spark):
     e = spark.createDataFrame([*ITEMS, *((50 + i, item(0)) for i in range(4))], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in leaks.leaked_spans(d, e).collect()}
     assert got == {(i, j) for i in range(80) for j in (0, 50, 51, 52, 53)}
+
+
+def test_four_changes_in_a_passage_of_26_words(spark):
+    """22 matched words in runs of 4, 4, 4, 5, 5 hold seven seeds only."""
+    w = item(2).split()[:26]
+    for at in (4, 9, 14, 20):
+        w[at] = "changed"
+    d = spark.createDataFrame([(1, " ".join(w))], "doc_id long, text string")
+    got = [(r.doc_id, r.item_id, r.n_words) for r in leaks.leaked_spans(d, spark.createDataFrame(ITEMS, "item_id long, text string")).collect()]
+    assert got == [(1, 2, 22)]
