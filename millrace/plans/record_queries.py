@@ -183,9 +183,10 @@ def gold_share(spark, d):
     return stats.share(table(spark, d, "heldout"), F.col("is_gold"), "split").withColumn("share", F.round("share", 9))
 
 
-@query("""select coalesce(cast(company_id as varchar), 'solo::' || doc_id) as company, count(*) as n, bool_and(lang = 'en') as all_en from documents where lang is not null group by 1""")
+@query("""select coalesce(cast(company_id as varchar), 'solo::' || doc_id) as company, count(*) as n, bool_and(lang = 'en') as all_en from documents group by 1""")
 def company_groups(spark, d):
-    docs = table(spark, d, "documents").filter("lang is not null")
+    """all_en goes by the stated languages; null if none is."""
+    docs = table(spark, d, "documents")
     key = F.coalesce(F.col("company_id").cast("string"), F.concat(F.lit("solo::"), F.col("doc_id").cast("string")))
     return docs.groupBy(key.alias("company")).agg(F.count("*").alias("n"), F.every(F.col("lang") == "en").alias("all_en"))
 
@@ -489,7 +490,7 @@ def completion_verdicts(spark, d):
 # ---- perturbations ------------------------------------------------------------------------------
 
 _ARM_SQL = {
-    "identity": "text", "shout_case": "upper(text)", "boilerplate_flood": f"text || {s.q(perturb.NOTICE)}",
+    "identity": "text", "boilerplate_flood": f"text || {s.q(perturb.NOTICE)}",
     "truncate_tail": "substr(text, 1, greatest(400, cast(floor(length(text) * 0.4) as integer)))",
 }
 _m = "text"
@@ -502,17 +503,23 @@ for _n, _pat in (("strip_salary", tx.SALARY), ("strip_deadline", perturb.DEADLIN
 
 
 def _suite(spark, d, arms):
-    rows = table(spark, d, "raw_postings").filter("text is not null and text not like '%ß%'").select("row_id", "text", F.lit(None).cast(rec.SCHEMA).alias("gold"))
+    rows = table(spark, d, "raw_postings").filter("text is not null").select("row_id", "text", F.lit(None).cast(rec.SCHEMA).alias("gold"))
     return perturb.build_suite(rows, "row_id", "text", "gold", {a: perturb.ARMS[a] for a in arms})
 
 
 @query("select row_id, arm, row_id || '::' || arm as variant_id, md5(t) as digest from (" + " union all ".join(
-    f"select row_id, '{a}' as arm, {e} as t from raw_postings where text is not null and text not like '%ß%'" for a, e in _ARM_SQL.items()) + ") x")
+    f"select row_id, '{a}' as arm, {e} as t from raw_postings where text is not null" for a, e in _ARM_SQL.items()) + ") x")
 def perturbed(spark, d):
-    """The arms without random choices."""
+    """The arms without random choices; shout_case is perturbed_shouting."""
     return _suite(spark, d, _ARM_SQL).select(F.col("id").alias("row_id"), "arm", "variant_id", F.md5("text").alias("digest"))
 
 
+@query()
+def perturbed_shouting(spark, d):
+    """The arm shout_case, without SQL: engines differ in the capital of the eszett."""
+    return _suite(spark, d, ["shout_case"]).select(F.col("id").alias("row_id"), "arm", "variant_id", F.md5("text").alias("digest"))
+
+
 @query()
 def perturbed_randomly(spark, d):
     rows = _sourced(spark, d).select("record_id", "source_text", "r")
