@@ -371,7 +371,7 @@ def score_rates(spark, d):
     return r.select("n", *[F.round(c, 9).alias(c) for c in r.columns if c != "n"])
 
 
-_B = 40
+_B = 1000
 _BOOT = f"""with {_PAIRS}, f as ({_FIELD_ROWS}), o as (select posting_id, row_number() over (order by posting_id) - 1 as spot, count(*) over () as n from pairs),
 w as (select r as replicate, {s.draw13('17', 'r', 'j')} % (select any_value(n) from o) as spot, count(*) as w from range({_B}) a(r), range((select any_value(n) from o)) b(j) group by all),
 a as (select replicate, field, tier, sum(tp * w) as tp, sum(fp * w) as fp, sum(fn * w) as fn from f join o using (posting_id) join w using (spot) group by all),
@@ -384,16 +384,16 @@ def bootstrap_replicates(spark, d):
     return b.select("replicate", F.round("micro_f1", 9).alias("micro_f1"), F.round("macro_f1", 9).alias("macro_f1"))
 
 
-@query(_BOOT + f" select round((list_sort(list(micro_f1)))[{int(0.05 * _B) + 1}], 9) as low, round((list_sort(list(micro_f1)))[{int(0.95 * _B)}], 9) as high from m")
+@query(_BOOT + f" select round((list_sort(list(micro_f1)))[{int(0.025 * _B) + 1}], 9) as low, round((list_sort(list(micro_f1)))[{int(0.975 * _B)}], 9) as high from m")
 def bootstrap_interval(spark, d):
     b = score.bootstrap(scored(spark, d), "posting_id", _B)
-    return score.percentile_interval(b, "micro_f1", (), _B, 0.1).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+    return score.percentile_interval(b, "micro_f1", (), _B, 0.05).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
 @query()
 def poisson_bootstrap(spark, d):
     """The resampling for large tables: no order, no count."""
-    return score.percentile_interval(score.bootstrap(scored(spark, d), "posting_id", 100, poisson=True), "micro_f1", (), 100)
+    return score.percentile_interval(score.bootstrap(scored(spark, d), "posting_id", _B, poisson=True), "micro_f1", (), _B)
 
 
 @query()
@@ -403,7 +403,7 @@ def paired_test(spark, d):
     one = rows.groupBy("posting_id").agg(*[F.min_by(F.when(F.col("sample_idx") == i, F.col("r")), F.when(F.col("sample_idx") == i, F.col("record_id"))).alias(f"s{i}") for i in (0, 1, 2)])
     one = durable(one.filter("s0 is not null and s1 is not null and s2 is not null"))
     a, b = (durable(score.score_pairs(one, "s0", f"s{i}", None, ("posting_id",))) for i in (1, 2))
-    return score.paired_test(a, b, "posting_id", replicates=100)
+    return score.paired_test(a, b, "posting_id", replicates=_B)
 
 
 _DIFF = {x.path: (f"(coalesce({_G[x.path]}, []) is distinct from coalesce({_P[x.path]}, []))" if x.is_set else f"({_G[x.path]} is distinct from {_P[x.path]})") for x in rec.LEAVES}

@@ -16,3 +16,7 @@ def test_every_text_is_perturbed(spark):
     shouted = {r.row_id: r.digest for r in q.perturbed_shouting(spark, SMALL).collect()}
     assert shouted == {i: hashlib.md5(t.upper().encode()).hexdigest() for i, t in texts.items()}
     assert q.perturbed(spark, SMALL).count() == 6 * len(texts)
+
+
+def test_bootstrap_has_a_thousand_replicates(spark):
+    assert q.bootstrap_replicates(spark, SMALL).select("replicate").distinct().count() == 1000
