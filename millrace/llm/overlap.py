@@ -1,23 +1,28 @@
 """Same or near-same texts across splits, by similarity-hash bit fingerprints.
 
-1. One pass counts how many texts hold each run of k words, by lossy counting per partition, so
-   that runs shared by very many texts (stock sentences) can be left out of the fingerprints.
-2. Each distinct text gets a bit fingerprint: the lowest bits of min-hashes over its other runs.
-   The min-hashes are cut into segments; segments equal across the two sides make a candidate, kept
-   if the fingerprints lie within a Hamming radius.
-3. Texts of which stock is so large a part that a pair could reach the threshold by it also emit the
-   first of all their runs by rarity, as many as any such pair must share one of (prefix filter): an
-   exact path for near copies of which there are very many.
-4. Every candidate is verified on the whole texts: shared runs / runs that either has.
+1. One pass counts how many texts hold each run of k words, by lossy counting per partition, and tells
+   stock (runs that very many texts hold) from the other, rare runs.
+2. Each distinct text gets two bit fingerprints: FIELDS fields of 32 bits, the min-hashes of its rare and
+   of its stock runs. Field by field the lesser of the two is the min-hash of all runs; one bit of
+   each of the first HAMMING fields is the fingerprint by which a candidate is judged.
+3. Blocks cut from the fingerprints (a few neighbouring fields each) meet across the two sides. A pair
+   of similarity t shares either a part RARE_PART of t of its rare runs, and then blocks of the rare
+   fingerprint, or much of its stock: how much at the least follows from the numbers of runs of the
+   text with fewer rare runs for its stock (the lighter) and of the other, and the more it is the wider
+   are the blocks of the stock fingerprint by which they meet. So no text is left to rare runs alone,
+   and common sentences bring few candidates unless whole sets of them agree in texts with little else.
+4. Candidates within the Hamming radius over all runs are verified on the whole texts: shared runs /
+   runs that either has.
 
 A plain sign-of-sum fingerprint is not used: at 60 % shared runs it differs in about 23 % of its
 bits, so that blocks selective enough for millions of texts (17 bits) would need some 390 tables for
-99 % recall. Min-hash bits need 16 tables for the same recall.
+99 % recall.
 
 Exact copies form one class from the start; links are found between classes and spread to members.
 """
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -25,20 +30,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.wordcodes import chunks, distinct_by_row, leading, mix, shingles, words
+from ..functions.wordcodes import chunks, distinct_by_row, mix, shingles, words
 from ..runtime import durable, ship
 
-FINGERPRINT_BITS = 64
-#: Keeps the keys of the exact path apart from segments.
-PREFIX = 0x51ED270B6C1B2F2D
 #: A run is stock when it stands in more than this share of the texts (and in at least STOCK_LEAST).
 STOCK_SHARE, STOCK_LEAST = 0.002, 30
-#: Fingerprints find the pairs that share at least the threshold less this of their other runs; the exact path finds the rest.
-MARGIN = 0.1
-#: Rarity is known down to this part of the counts of stock; it only keeps the exact path's candidates few.
-RARER = 16
-#: So many of the first runs must be common on the exact path, where the lengths of a pair allow to ask for them.
-COMMON = 4
+#: Rare blocks find the pairs that share at least this part of the threshold of their rare runs; stock blocks find the rest.
+RARE_PART = 5 / 9
+#: Blocks of the rare fingerprint: so many, each as wide as a pair at that limit still shares with this probability.
+RARE_BLOCKS, RARE_CHANCE = 32, 0.1
+#: Blocks of the stock fingerprint: so many of each width, as multiples of the narrowest, used where the fields of a block all
+#: agree with this chance.
+STOCK_BLOCKS, STOCK_CHANCE, STOCK_WIDTHS = 10, 0.3, (1, 2, 3, 4.5, 7)
+#: Bits of the fingerprint that the radius is measured on, and standard deviations of their number that are allowed.
+HAMMING, DEVIATIONS = 128, 4.0
+#: Texts of one task whose copies are folded before they travel.
+REMEMBERED = 1 << 20
 
 
 def _lossy_counts(k: int, error: float):
@@ -59,48 +66,64 @@ def _lossy_counts(k: int, error: float):
                     kept, counts = kept[live], counts[live]
         if seen:
             live = counts >= 2
-            yield pa.RecordBatch.from_arrays([pa.array(kept[live].view(np.int64)), pa.array(counts[live])], ["code", "n"])
+            codes = pa.concat_arrays([pa.array(kept[live].view(np.int64)), pa.nulls(1, pa.int64())])
+            yield pa.RecordBatch.from_arrays([codes, pa.array(np.r_[counts[live], seen])], ["code", "n"])
     return run
 
 
-def common_runs(texts: DataFrame, text: str, k: int = 5, share: float = STOCK_SHARE, least: int = STOCK_LEAST) -> tuple[np.ndarray, np.ndarray, float]:
-    """(hashes, counts, floor): the runs of k words that more than 1 / RARER of `floor` texts hold, by hash;
-    those that `floor` texts hold, more than `share` of all, are stock.
+def stock_runs(texts: DataFrame, text: str, k: int = 5, share: float = STOCK_SHARE, least: int = STOCK_LEAST) -> np.ndarray:
+    """Sorted hashes of the runs of k words that more than `share` of the texts (and `least`) hold.
 
-    All texts are counted. A run under a quarter of `share` within a partition may be missed there,
-    so that a returned count is short by at most share / 4 of the texts. At most RARER (runs per text) /
-    (0.75 share) runs can qualify, whatever the size of the data; that bounds what comes back.
+    All texts are counted, in one pass that counts the rows as well. A run under a quarter of `share`
+    within a partition may be missed there, so that a count is short by at most share / 4 of the texts;
+    hence the limit is 3/4 of `share`. At most (runs per text) / (0.75 share) runs can qualify,
+    whatever the size of the data; that bounds what comes back.
     """
     ship(texts.sparkSession)
-    floor = max(least, share * 0.75 * texts.count())
-    counted = texts.select(text).mapInArrow(_lossy_counts(k, share / 4), "code long, n long")
-    rows = counted.groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= floor / RARER).collect()
-    codes = np.array([r.code for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(codes)
-    return codes[order], np.array([r.n for r in rows], np.int64)[order], floor
-
-
-def _perms(n: int) -> tuple[np.ndarray, np.ndarray]:
-    seeds = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return seeds[:n] | np.uint64(1), seeds[n:]
-
-
-def _minima(codes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that have codes, their n min-hashes)."""
-    if not len(codes):
-        return np.zeros(0, np.int64), np.zeros((0, n), np.uint64)
-    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    a, b = _perms(n)
-    out = np.empty((len(first), n), np.uint64)
-    for j in range(n):
-        x = codes * a[j] + b[j]
-        out[:, j] = np.minimum.reduceat(x ^ (x >> np.uint64(29)), first)
-    return rows[first], out
-
-
-def _segments(minima: np.ndarray, width: int, tables: int, tag: int) -> np.ndarray:
-    out = np.empty((len(minima), tables), np.uint64)
-    for t in range(tables):
+    counted = texts.select(text).mapInArrow(_lossy_counts(k, share / 4), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counted = durable(counted.filter((F.col("n") >= least) | F.col("code").isNull()))
+    total = counted.filter("code is null").agg(F.sum("n")).first()[0] or 0
+    rows = counted.filter(F.col("code").isNotNull() & (F.col("n") >= max(least, share * 0.75 * total))).select("code").collect()
+    return np.sort(np.array([r.code for r in rows], np.int64).view(np.uint64))
+
+
+def _width(chance: float, similarity: float) -> int:
+    """The widest block whose fields all agree with at least this chance."""
+    return max(1, int(math.log(chance) / math.log(similarity) + 1e-9)) if 0 < similarity < 1 else 1
+
+
+def _plan(threshold: float) -> tuple[int, list[tuple[int, float]], int]:
+    """(width of the rare blocks, (width, least similarity of stock) of each level of stock blocks, fields)."""
+    rare = _width(RARE_CHANCE, RARE_PART * threshold)
+    widths = [int(_width(STOCK_CHANCE, threshold) * times) for times in STOCK_WIDTHS]
+    levels = [(w, STOCK_CHANCE ** (1 / w) if i else 0.0) for i, w in enumerate(widths)]
+    return rare, levels, max(HAMMING, rare * RARE_BLOCKS, widths[-1] * STOCK_BLOCKS)
+
+
+def radius(threshold: float) -> int:
+    """Bits in which the fingerprints of a pair at the threshold differ, up to DEVIATIONS."""
+    p = (1 - threshold) / 2
+    return int(HAMMING * p + DEVIATIONS * math.sqrt(HAMMING * p * (1 - p)))
+
+
+def _minima(codes: np.ndarray, groups: np.ndarray, n_groups: int, fields: int) -> np.ndarray:
+    """(group, field) min-hashes of the codes of each group, which stand in order; all bits set for a group without codes."""
+    out = np.full((n_groups, fields), np.uint32(0xFFFFFFFF), np.uint32)
+    if len(codes):
+        first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+        short = (codes >> np.uint64(32)).astype(np.uint32)
+        seeds = mix(np.arange(1, 2 * fields + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        a, b = (seeds[:fields] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (seeds[fields:] >> np.uint64(32)).astype(np.uint32)
+        for j in range(fields):
+            x = short * a[j] + b[j]
+            x ^= x >> np.uint32(15)
+            out[groups[first], j] = np.minimum.reduceat(x, first)
+    return out
+
+
+def _blocks(minima: np.ndarray, width: int, blocks: int, tag: int) -> np.ndarray:
+    out = np.empty((len(minima), blocks), np.uint64)
+    for t in range(blocks):
         key = np.full(len(minima), tag * 1000 + t + 1, np.uint64)
         for j in range(t * width, (t + 1) * width):
             key = mix(key ^ minima[:, j])
@@ -108,48 +131,70 @@ def _segments(minima: np.ndarray, width: int, tables: int, tag: int) -> np.ndarr
     return out
 
 
-def _fingerprints(k: int, common: np.ndarray, counts: np.ndarray, floor: float, width: int, tables: int, threshold: float):
-    n = max(width * tables, FINGERPRINT_BITS)
-
-    def emit(cls, rows, minima):
-        bits = (minima[:, :FINGERPRINT_BITS] >> np.uint64(13)) & np.uint64(1)
-        fp = (bits << np.arange(FINGERPRINT_BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        keys = _segments(minima, width, tables, 0)
-        return batch_of(cls[np.repeat(rows, tables)], keys.ravel(), np.repeat(fp, tables).view(np.int64), np.zeros(keys.size, np.int32))
-
-    def batch_of(cls, keys, fp, runs):
-        return pa.RecordBatch.from_arrays([pa.array(cls), pa.array(keys.view(np.int64)), pa.array(fp), pa.array(runs, pa.int32())], ["cls", "segment", "fingerprint", "runs"])
+def _fingerprints(k: int, stock: np.ndarray, threshold: float, side: int):
+    """`side` is 0 or 1: stock blocks of the lighter texts of one side meet those of the partners of the other."""
+    rare_width, levels, fields = _plan(threshold)
+    shared = RARE_PART * threshold
+    rise = (threshold - shared) / (1 + shared)
+
+    def coded(cls: np.ndarray, part: pa.Array):
+        h, rows, *_ = words(part)
+        codes, rows, _ = shingles(h, rows, k)
+        codes, rows = distinct_by_row(codes, rows)
+        if not len(codes):
+            return None
+        common = np.zeros(len(codes), bool)
+        if len(stock):
+            common = stock[np.minimum(np.searchsorted(stock, codes), len(stock) - 1)] == codes
+        n = len(part)
+        n_stock = np.bincount(rows[common], minlength=n)
+        n_rare = np.bincount(rows, minlength=n) - n_stock
+        rare, often = _minima(codes[~common], rows[~common], n, max(HAMMING, rare_width * RARE_BLOCKS)), _minima(codes[common], rows[common], n, fields)
+        bits = (np.minimum(rare[:, :HAMMING], often[:, :HAMMING]) >> np.uint32(9)) & np.uint32(1)
+        prints = np.packbits(bits.astype(np.uint8), axis=1).view(">u8").astype(np.uint64)
+        owners, keys = [], []
+
+        def emit(chosen: np.ndarray, minima: np.ndarray, width: int, blocks: int, tag: int) -> None:
+            owners.append(np.repeat(chosen, blocks))
+            keys.append(_blocks(minima[chosen], width, blocks, tag).ravel())
+
+        emit(np.flatnonzero(n_rare), rare, rare_width, RARE_BLOCKS, 0)
+        # A pair of similarity t that shares under m of its rare runs makes up for it by stock: with s and r the runs that either
+        # has, s_shared >= t s + (t - m) r. For each text r >= n_rare and s <= n_stock / similarity; for both, r > (sum of n_rare)
+        # / (1 + m) and s = (sum of n_stock) / (1 + similarity), where the sums' ratio is no less than that of the lighter text.
+        with np.errstate(divide="ignore", invalid="ignore"):
+            heavy = np.where(n_stock > 0, n_rare / n_stock, np.inf)
+            as_partner = np.where(heavy * (threshold - shared) < 1, threshold / (1 - heavy * (threshold - shared)), 2.0)
+            as_lighter = np.where(heavy * rise < 1, (threshold + heavy * rise) / (1 - heavy * rise), 2.0)
+        for tag, least in ((side, as_lighter), (1 - side, as_partner)):
+            for level, (width, _) in enumerate(levels):
+                # a text also emits the wider blocks, by which it meets those that need more in common
+                above = levels[level + 1][1] if level + 1 < len(levels) else 2.0
+                emit(np.flatnonzero((least <= 1 + 1e-9) & (least < above)), often, width, STOCK_BLOCKS, 2 * level + tag + 1)
+        owner, key = np.concatenate(owners), np.concatenate(keys)
+        order = np.argsort(owner, kind="stable")
+        held = np.unique(rows)
+        offsets = np.searchsorted(owner[order], np.arange(n + 1)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[order].view(np.int64)))
+        columns = [pa.array(cls), pa.array(prints[:, 0].copy().view(np.int64)), pa.array(prints[:, 1].copy().view(np.int64)), lists]
+        return pa.RecordBatch.from_arrays(columns, ["cls", "low", "high", "blocks"]).take(pa.array(held))
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            _, once = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
-            batch = batch.take(pa.array(np.sort(once)))
+            new = []
+            for i, c in enumerate(batch.column(0).to_pylist()):
+                if c not in seen:
+                    seen.add(c)
+                    new.append(i)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            batch = batch.take(pa.array(new, pa.int64()))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at, part in chunks(batch.column(1)):
-                cls = ids[at : at + len(part)]
-                h, rows, *_ = words(part)
-                codes, rows, _ = shingles(h, rows, k)
-                codes, rows = distinct_by_row(codes, rows)
-                if not len(codes):
-                    continue
-                weights = np.zeros(len(codes), np.int64)
-                if len(common):
-                    spot = np.minimum(np.searchsorted(common, codes), len(common) - 1)
-                    weights = np.where(common[spot] == codes, counts[spot], 0)
-                rare = weights < floor
-                r, m = _minima(codes[rare], rows[rare], n)
-                if len(r):
-                    yield emit(cls, r, m)
-                # A pair of similarity t or more, but under t - MARGIN over the rare runs, shares over t of the stock runs
-                # that either has: with (1 - t) stock >= MARGIN rare over both, and both texts' own runs bound these.
-                n_rare = np.bincount(rows[rare], minlength=len(part))
-                n_stock = np.bincount(rows, minlength=len(part)) - n_rare
-                mixed = (n_stock > 0) & ((1 - threshold) / threshold * n_stock >= MARGIN * n_rare - 1e-9)
-                chosen = mixed[rows]
-                if chosen.any():
-                    codes, rows, weights = codes[chosen], rows[chosen], weights[chosen]
-                    i, place, runs = leading(codes, rows, weights, threshold)
-                    yield batch_of(cls[rows[i]], mix(codes[i] ^ np.uint64(PREFIX)), place.astype(np.int64), runs)
+                out = coded(ids[at : at + len(part)], part)
+                if out is not None:
+                    yield out
     return run
 
 
@@ -174,31 +219,30 @@ def runs_of(text: str, k: int) -> set:
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
 
 
-def class_links(a: DataFrame, b: DataFrame, text: str, *, k: int = 5, threshold: float = 0.6, width: int = 2, tables: int = 16, radius: int = 28) -> DataFrame:
+def class_links(a: DataFrame, b: DataFrame, text: str, *, k: int = 5, threshold: float = 0.6) -> DataFrame:
     """(cls_a, cls_b, similarity) of the distinct texts of `a` and `b` that share at least `threshold`
     of their runs. A class is the 64-bit hash of a text. Null texts and texts under k words link to
     nothing."""
     spark = a.sparkSession
     ship(spark)
     a, b = (side.select(F.col(text).alias("text")).filter("text is not null") for side in (a, b))
-    common, counts, floor = common_runs(a.unionByName(b), "text", k)
-
-    def codes(side: DataFrame) -> DataFrame:
-        # copies fold within a batch; placed by segment, so that the join moves nothing again
-        rows = side.select(F.xxhash64("text").alias("cls"), "text")
-        return rows.mapInArrow(_fingerprints(k, common, counts, floor, width, tables, threshold), "cls long, segment long, fingerprint long, runs int").repartition("segment").distinct()
-
-    x, y = (codes(s).select(F.col("cls").alias(f"cls_{n}"), "segment", F.col("fingerprint").alias(f"fp_{n}"), F.col("runs").alias(f"runs_{n}")) for s, n in ((a, "a"), (b, "b")))
-    # On the exact path the fingerprint is a run's place. A similar pair shares `shared` runs or more, all but `rest` of
-    # them among the first of both; from the m-th common run on, shared - m + 1 runs must be left in both.
-    shared = (F.col("runs_a") + F.col("runs_b")) * (threshold / (1 + threshold))
-    left = F.least(F.col("runs_a") - F.col("fp_a"), F.col("runs_b") - F.col("fp_b"))
-    alike = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= radius
-    met = x.join(y, "segment").filter(F.when(F.col("runs_a") == 0, alike).otherwise(left >= shared - (COMMON - 1) - 1e-6))
-    rest = F.ceil(threshold * F.greatest("runs_a", "runs_b") - 1e-9) - 1
-    near = (met.groupBy("cls_a", "cls_b").agg(F.max("runs_a").alias("runs_a"), F.max("runs_b").alias("runs_b"), F.bool_or(F.col("runs_a") == 0).alias("alike"), F.count("*").alias("n"))
-            .filter(F.col("alike") | (F.col("n") >= F.least(F.lit(COMMON), shared - rest - 1e-6))).select("cls_a", "cls_b"))
-    near = durable(near)
+    stock = stock_runs(a.unionByName(b), "text", k)
+
+    def coded(texts: DataFrame, side: int) -> DataFrame:
+        rows = texts.select(F.xxhash64("text").alias("cls"), "text")
+        return durable(rows.mapInArrow(_fingerprints(k, stock, threshold, side), "cls long, low long, high long, blocks array<long>"))
+
+    def blocks(side: DataFrame, n: str) -> DataFrame:
+        # placed by block, so that the join moves nothing again
+        return side.select(F.col("cls").alias(f"cls_{n}"), F.explode("blocks").alias("block")).repartition("block").distinct()
+
+    def prints(side: DataFrame, n: str) -> DataFrame:
+        return side.select(F.col("cls").alias(f"cls_{n}"), F.col("low").alias(f"low_{n}"), F.col("high").alias(f"high_{n}")).dropDuplicates([f"cls_{n}"])
+
+    x, y = coded(a, 0), coded(b, 1)
+    met = blocks(x, "a").join(blocks(y, "b"), "block").select("cls_a", "cls_b").distinct()
+    apart = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b")))
+    near = durable(met.join(prints(x, "a"), "cls_a").join(prints(y, "b"), "cls_b").filter(apart <= radius(threshold)).select("cls_a", "cls_b"))
 
     def wanted(side: DataFrame, n: str) -> DataFrame:
         rows = side.select(F.xxhash64("text").alias(f"cls_{n}"), F.col("text").alias(f"text_{n}"))

@@ -95,3 +95,40 @@ def test_near_copies_of_a_third_of_the_rows(spark):
     shape = "id string, text string"
     got = {(r.id_a, r.id_b) for r in overlap.overlaps(spark.createDataFrame(a, shape), spark.createDataFrame(b, shape), "id", "text").collect()}
     assert len(want) > 1500 and got == want
+
+
+def test_recall_where_texts_are_mostly_common_sentences(spark):
+    """Templates that over 0.2 % of the texts hold, with own words in all proportions, among many other texts."""
+    rng = random.Random(11)
+    many = [f"v{i}" for i in range(5000)]
+    templates = [rng.choices(many, k=n) for n in (190, 120, 60)]
+
+    def own(base, n, changed):
+        words = rng.choices(many, k=n) if base is None else list(base)
+        for at in rng.sample(range(len(words)), min(changed, len(words))):
+            words[at] = rng.choice(many)
+        return words
+
+    a, b = [], []
+    for t, template in enumerate(templates):
+        for n in (5, 21, 40, 80, 150):
+            base = rng.choices(many, k=n)
+            for i in range(15):
+                a.append((f"a{t}-{n}-{i}", " ".join(template + own(None if i % 2 else base, n, n // 12))))
+            for i in range(6):
+                b.append((f"b{t}-{n}-{i}", " ".join(template + own(None if i % 2 else base, n, n // 8))))
+    a += [(f"ao{i}", " ".join(rng.choices(many, k=rng.randint(60, 200)))) for i in range(2000)]
+    b += [(f"bo{i}", " ".join(rng.choices(many, k=rng.randint(60, 200)))) for i in range(600)]
+    runs_a, runs_b = ({i: overlap.runs_of(x, 5) for i, x in side} for side in (a, b))
+    want = set()
+    for i, x in runs_a.items():
+        for j, y in runs_b.items():
+            if i.startswith("ao") or j.startswith("bo"):
+                continue
+            if len(x & y) / len(x | y) >= 0.6:
+                want.add((i, j))
+    shape = "id string, text string"
+    found = overlap.overlaps(spark.createDataFrame(a, shape), spark.createDataFrame(b, shape), "id", "text").collect()
+    got = {(r.id_a, r.id_b) for r in found}
+    assert len(want) > 500 and got <= want
+    assert len(got) / len(want) >= 0.97, (len(got), len(want))
