@@ -88,24 +88,36 @@ def _rendezvous(key: Column, shares: list[tuple[str, float]]) -> Column:
     return (F.greatest(*scored) if len(scored) > 1 else scored[0])["split"]
 
 
-def assign_splits(groups: DataFrame, shares: list[tuple[str, float]], giant: float = 0.002) -> DataFrame:
+def assign_splits(groups: DataFrame, shares: list[tuple[str, float]], giant: float = 0.005, earlier: DataFrame | None = None) -> DataFrame:
     """(id, split): each group as a whole in one split, in about the given shares of all rows.
 
-    Weighted rendezvous hashing assigns by the group's key alone, so that a group keeps its split when
-    others come. Groups that hold over `giant` times the smallest share of all rows would upset the
-    shares; fewer than 1 / (giant x smallest share) can exist, so that the driver may hold them. They are placed first, the largest
-    first, where most is left, and the others fill what then remains of each share.
+    Weighted rendezvous hashing assigns by the group's key. Only groups of over `giant` of all rows, of
+    which there are fewer than 1 / giant, are placed beforehand, the largest first, each where most is
+    left; what then remains of each share weighs the hashing. As these weights follow the giants, groups
+    may move when giants grow: as few as weighted rendezvous allows. `earlier` is a former result
+    (id, split); a group with an identifier in it keeps that split (the commonest, if groups have
+    merged), and only new groups are assigned. Shares are met to about sqrt(share x giant) at the worst,
+    and far better where groups are small. An empty table gives no rows.
     """
     shares = sorted((s, float(w)) for s, w in shares if w and w > 0)
     total_share = sum(w for _, w in shares)
     key = F.coalesce(F.concat(F.lit("e"), F.col("group_entity").cast("string")), F.concat(F.lit("i"), F.col("id").cast("string")))
     keyed = groups.withColumn("group_key", key)
-    total = keyed.agg(F.sum("n_rows")).first()[0] or 0
-    floor = giant * min(w for _, w in shares) / total_share * total
-    sizes = keyed.groupBy("group_key").agg(F.sum("n_rows").alias("n")).filter(F.col("n") > floor).orderBy(F.desc("n"), "group_key").collect()
-    left = {s: w / total_share * total for s, w in shares}
+    sizes = keyed.groupBy("group_key").agg(F.sum("n_rows").alias("n"))
+    kept = None
+    if earlier is not None:
+        votes = keyed.join(earlier.select("id", F.col("split").alias("kept")), "id").groupBy("group_key", "kept").agg(F.sum("n_rows").alias("n"))
+        kept = votes.groupBy("group_key").agg(F.max_by("kept", F.struct("n", "kept")).alias("kept"))
+        sizes = sizes.join(kept, "group_key", "left")
+    else:
+        sizes = sizes.withColumn("kept", F.lit(None).cast("string"))
+    sizes = durable(sizes)
+    held = {r.kept: r.n for r in sizes.groupBy("kept").agg(F.sum("n").alias("n")).collect()}
+    total = sum(held.values())
+    giants = sizes.filter(F.col("kept").isNull() & (F.col("n") > max(1.0, giant * total))).orderBy(F.desc("n"), "group_key").limit(int(1 / giant) + 1).collect()
+    left = {s: w / total_share * total - held.get(s, 0) for s, w in shares}
     placed = {}
-    for r in sizes:
+    for r in giants:
         at = max(left, key=lambda s: (left[s], s))
         placed[r.group_key] = at
         left[at] -= r.n
@@ -117,4 +129,7 @@ def assign_splits(groups: DataFrame, shares: list[tuple[str, float]], giant: flo
         fixed = F.broadcast(groups.sparkSession.createDataFrame(sorted(placed.items()), "group_key string, fixed string"))
         keyed = keyed.join(fixed, "group_key", "left")
         split = F.coalesce("fixed", split)
+    if kept is not None:
+        keyed = keyed.join(kept, "group_key", "left")
+        split = F.coalesce("kept", split)
     return keyed.select("id", split.alias("split"))

@@ -35,14 +35,18 @@ def _sums(counts: DataFrame, lambdas: dict[str, float]) -> dict[str, tuple[float
     return {r.source: (r.got, r.slope) for r in rows.collect()}
 
 
-def solve(counts: DataFrame, wanted: dict[str, float], rounds: int = 60, tolerance: float = 1e-7) -> dict[str, float]:
-    """Lambda of each source whose tokens can be reached, by Newton steps kept inside a shrinking bracket."""
+def solve(counts: DataFrame, wanted: dict[str, float], rounds: int = 200, tolerance: float = 1e-7) -> tuple[dict[str, float], set[str]]:
+    """(lambda of each source, sources that fall short with every rate at its cap), by Newton steps kept inside a shrinking bracket.
+
+    A source falls short when its tokens are fewer than wanted where the dual's slope has become nothing: no rate
+    can rise any more. Raises if a source is unsolved after `rounds`.
+    """
     lambdas = {s: 0.0 for s in wanted}
     bracket = {s: [-math.inf, math.inf] for s in wanted}
-    open_ = set(wanted)
+    open_, short = set(wanted), set()
     for _ in range(rounds):
         if not open_:
-            break
+            return lambdas, short
         sums = _sums(counts, {s: lambdas[s] for s in open_})
         for s in sorted(open_):
             got, slope = sums.get(s, (0.0, 0.0))
@@ -50,16 +54,23 @@ def solve(counts: DataFrame, wanted: dict[str, float], rounds: int = 60, toleran
             if abs(miss) <= tolerance * max(wanted[s], 1.0):
                 open_.discard(s)
                 continue
+            if miss > 0 and slope == 0:
+                open_.discard(s)
+                short.add(s)
+                continue
             low, high = bracket[s]
             low, high = (lambdas[s], high) if miss > 0 else (low, lambdas[s])
             bracket[s] = [low, high]
-            step = lambdas[s] + max(-2.0, min(2.0, miss / slope)) if slope > 0 else lambdas[s] + (1.0 if miss > 0 else -1.0)
+            most = max(2.0, abs(lambdas[s]))
+            step = lambdas[s] + max(-most, min(most, miss / slope if slope > 0 else math.copysign(most, miss)))
             if not low < step < high:
-                step = (low + high) / 2 if math.isfinite(low + high) else step
-            if step == lambdas[s] or high - low < 1e-13:
+                step = (low + high) / 2 if math.isfinite(low + high) else lambdas[s] + math.copysign(most, miss)
+            if step == lambdas[s] or high - low < 1e-13 * max(1.0, abs(step)):
                 open_.discard(s)
             lambdas[s] = step
-    return lambdas
+    if open_:
+        raise RuntimeError(f"no rates were found for {sorted(open_)[:5]}")
+    return lambdas, short
 
 
 def mixture(documents: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source",
@@ -68,8 +79,8 @@ def mixture(documents: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id",
 
     copies: (doc_id, source, n_tokens, rate, copies), every document of a target source, copies from 0 to max_repeats.
     report: (source, target_weight, max_repeats, n_docs, tokens, wanted, reached, share of the mixture, share_of_total, unmet); `unmet`
-    sources have too few tokens even when each document is used max_repeats times; then each is, and the
-    share reached is reported. Documents of other or null sources are not used but count in the total;
+    sources are those that the dual leaves short with every rate at its cap, i.e. each document used
+    max_repeats times; the share reached is reported. Documents of other or null sources are not used but count in the total;
     null and empty texts have no tokens and get no copies; targets without documents are reported with
     0 tokens; repeated documents each count.
     """
@@ -81,17 +92,17 @@ def mixture(documents: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id",
     by_source = counts.groupBy("source").agg(F.sum("n").alias("n_docs"), F.sum(F.col("n") * F.col("n_tokens")).alias("tokens"))
     total = counts.agg(F.sum(F.col("n") * F.col("n_tokens"))).first()[0] or 0
     plan = known.join(by_source, "source", "left").na.fill(0, ["n_docs", "tokens"]).withColumn("wanted", F.col("target_weight") * F.lit(float(total)))
-    plan = plan.withColumn("unmet", F.col("tokens") * F.col("max_repeats") < F.col("wanted"))
     rows = plan.limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
         raise ValueError("too many sources to mix")
     spark = documents.sparkSession
     shape = "source string, max_repeats int, mean double"
-    reachable = [r for r in rows if not r.unmet and r.tokens]
-    limits = F.broadcast(spark.createDataFrame([(r.source, r.max_repeats, r.tokens / r.n_docs) for r in reachable], shape))
-    lambdas = solve(counts.join(limits, "source"), {r.source: r.wanted for r in reachable}) if reachable else {}
-    rates = [(r.source, r.max_repeats, (r.tokens / r.n_docs) if r.n_docs and r.tokens else 1.0, lambdas.get(r.source)) for r in rows]
-    at = F.broadcast(spark.createDataFrame(rates, shape + ", lambda double"))
+    stocked = [r for r in rows if r.tokens]
+    limits = F.broadcast(spark.createDataFrame([(r.source, r.max_repeats, r.tokens / r.n_docs) for r in stocked], shape))
+    lambdas, short = solve(counts.join(limits, "source"), {r.source: r.wanted for r in stocked}) if stocked else ({}, set())
+    short |= {r.source for r in rows if not r.tokens and r.wanted > 0}
+    rates = [(r.source, r.max_repeats, (r.tokens / r.n_docs) if r.n_docs and r.tokens else 1.0, None if r.source in short else lambdas.get(r.source), r.source in short) for r in rows]
+    at = F.broadcast(spark.createDataFrame(rates, shape + ", lambda double, short boolean"))
     free = F.least(F.exp(F.least(F.col("lambda") * F.col("n_tokens") / F.col("mean"), F.lit(700.0))), F.col("max_repeats").cast("double"))
     rated = (counted.join(at, "source")
              .withColumn("rate", F.when(F.col("n_tokens") == 0, 0.0).otherwise(F.coalesce(free, F.col("max_repeats").cast("double"))))
@@ -110,7 +121,8 @@ def mixture(documents: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id",
               .withColumn("copies", F.col("whole") + F.coalesce(F.col("cell") <= F.col("edge"), F.lit(False)).cast("int"))
               .select("doc_id", "source", "n_tokens", "rate", "copies"))
     reached = copies.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("reached"))
-    report = (plan.join(reached, "source", "left").na.fill(0, ["reached"]).withColumn("whole", F.sum("reached").over(Window.partitionBy()))
+    report = (plan.join(at.select("source", "short"), "source").join(reached, "source", "left").na.fill(0, ["reached"]).withColumn("whole", F.sum("reached").over(Window.partitionBy()))
               .select("source", "target_weight", "max_repeats", "n_docs", "tokens", "wanted", "reached", F.try_divide(F.col("reached"), F.col("whole")).alias("share"),
-                      F.try_divide(F.col("reached"), F.lit(float(total))).alias("share_of_total"), "unmet"))
+                      F.try_divide(F.col("reached"), F.lit(float(total))).alias("share_of_total"),
+                      (F.col("short") & (F.col("reached") < F.col("wanted"))).alias("unmet")))
     return copies, report

@@ -37,4 +37,14 @@ from l join tr_k a on a.source_text = l.s join ho_k b on b.source_text = l.t"""
 
 P6_SAMPLE = "select distinct posting_id from train where posting_id is not null and cast(('0x' || substr(md5(posting_id), 1, 13)) as bigint) / pow(16, 13) < 0.1"
 
-ORACLES = {"p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_report": P3_REPORT, "p4_found": P4_FOUND, "p6_sample": P6_SAMPLE}
+P6_DELIVERIES = """select posting_id, max(case when is_gold then 2.0 else 1.0 end)::double as weight from train where posting_id is not null group by posting_id
+having cast(('0x' || substr(md5(posting_id), 1, 13)) as bigint) / pow(16, 13) < max(case when is_gold then 2.0 else 1.0 end)::double * 0.1"""
+
+_PAIRS = P4_FOUND[: P4_FOUND.index("select distinct least(")]
+P4_REPORT = f"""{_PAIRS.replace('select tr_t.source_text as s, ho_t.source_text as t from', 'select tr_t.source_text as s, ho_t.source_text as t, n / (len(tr_t.runs) + len(ho_t.runs) - n) as sim from')}, 
+f as (select b.posting_id, count(distinct a.posting_id) as n_pairs, max(sim) as best from l join tr_k a on a.source_text = l.s join ho_k b on b.source_text = l.t group by 1),
+h as (select distinct posting_id, split, source from heldout where posting_id is not null)
+select split, source, count(*) as n_records, count(n_pairs) as n_leaked, cast(coalesce(sum(n_pairs), 0) as bigint) as n_pairs, cast(count(*) filter (best >= 1.0) as bigint) as n_same
+from h left join f using (posting_id) group by split, source"""
+
+ORACLES = {"p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_report": P3_REPORT, "p4_found": P4_FOUND, "p4_report": P4_REPORT, "p6_sample": P6_SAMPLE, "p6_deliveries": P6_DELIVERIES}

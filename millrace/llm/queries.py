@@ -72,6 +72,15 @@ def p6_sample(spark: SparkSession, d: str) -> DataFrame:
     return chosen.filter("selected").select(F.col("id").alias("posting_id"))
 
 
+def p6_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """Two deliveries, the second with the first one's store; gold rows weigh twice."""
+    rows = table(spark, d, "train")
+    weight = F.when(F.col("is_gold"), 2.0).otherwise(1.0)
+    first = sampling.consistent_sample(rows.filter("batch <= 3"), "posting_id", 0.1, weight)
+    later = sampling.consistent_sample(rows.filter("batch > 3 or batch is null"), "posting_id", 0.1, weight, store=first)
+    return later.filter("selected").select(F.col("id").alias("posting_id"), "weight")
+
+
 def p7_mapped(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "job_postings")
     regions, skills = table(spark, d, "region_ref"), table(spark, d, "skill_ref")
@@ -140,6 +149,6 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return cut.filter((F.col("piece") == 0) & (F.col("n_pieces") > 1)).select(F.col("id").alias("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_sample, p3_report, p4_found, p4_report, p5_found, p5_restored, p6_sample, p7_found, p7_unmatched,
+QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_sample, p3_report, p4_found, p4_report, p5_found, p5_restored, p6_sample, p6_deliveries, p7_found, p7_unmatched,
                                     p8_found, p8_report, p8_cleaned, p9_found, p9_report, p9_copies, p10_found, p10_pieces)}
 ORACLES: dict[str, str] = dict(oracles.ORACLES)

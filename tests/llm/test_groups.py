@@ -59,3 +59,31 @@ def test_shares_and_hot_group(spark):
 def test_empty(spark):
     g = groups.related_groups(spark.createDataFrame([], "p string, c string"), "p", groups.entity_number(F.col("c")))
     assert g.count() == 0 and groups.shared_groups(g).count() == 0 and groups.assign_splits(g, [("a", 1.0)]).count() == 0
+
+
+def test_earlier_splits_stay_as_data_grow(spark):
+    def made(n, giants):
+        big = spark.range(n // 3).select(F.concat(F.lit("g"), F.col("id")).alias("id"), (F.col("id") % giants).alias("group_entity"), F.lit(1).cast("long").alias("n_rows"))
+        return big.unionByName(spark.range(n).select(F.col("id").cast("string").alias("id"), (F.col("id") / 3 + 1000).cast("long").alias("group_entity"), F.lit(1).cast("long").alias("n_rows")))
+
+    shares = [("train", 0.8), ("val", 0.1), ("test", 0.1)]
+    first = groups.assign_splits(made(9000, 5), shares)
+    before = {r.id: r.split for r in first.collect()}
+    after = {r.id: r.split for r in groups.assign_splits(made(12_000, 5), shares, earlier=spark.createDataFrame(list(before.items()), "id string, split string")).collect()}
+    assert all(after[i] == s for i, s in before.items() if i in after) and len(after) == 16_000
+    # without a store: the groups under the limit mostly stay, as weighted rendezvous moves no more than the weights do
+    fresh = {r.id: r.split for r in groups.assign_splits(made(12_000, 5), shares).collect()}
+    small = [i for i in before if not i.startswith("g")]
+    assert sum(fresh[i] != before[i] for i in small) / len(small) < 0.1
+    for result in (before, fresh):
+        n = len(result)
+        assert abs(sum(s == "train" for s in result.values()) / n - 0.8) < 0.03
+
+
+def test_small_groups_go_by_rendezvous(spark):
+    """No group under the limit is placed beforehand, however few the rows are."""
+    g = spark.range(150).select(F.col("id").cast("string").alias("id"), F.col("id").alias("group_entity"), F.lit(1).cast("long").alias("n_rows"))
+    shares = [("a", 0.5), ("b", 0.5)]
+    alone = {r.id: r.split for r in groups.assign_splits(g.filter("id < 75"), shares).collect()}
+    both = {r.id: r.split for r in groups.assign_splits(g, shares).collect()}
+    assert all(both[i] == s for i, s in alone.items())

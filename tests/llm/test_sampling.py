@@ -50,3 +50,12 @@ def test_weights_never_fall(spark):
     later = {r.id: r.weight for r in sampling.consistent_sample(b, "p", 0.2, F.col("w"), store=first).collect()}
     assert later == {"1": 5.0, "2": 0.5, "3": 0.0}
     assert sampling.consistent_sample(a.limit(0), "p", 0.5).count() == 0
+
+
+def test_short_acceptance_is_topped_up(spark):
+    """Where independent draws accept fewer than wanted, the next draws make up the count."""
+    small = spark.range(400).select(F.col("id").cast("string").alias("pid"), (F.col("id") % 40).cast("string").alias("grp"), F.lit("a").alias("stratum"))
+    targets = small.select("grp").distinct().select("grp", F.lit("a").alias("stratum"), F.lit(1.0).alias("share"), F.lit(0.1).alias("sample_share"), F.lit(1).alias("min_rows"))
+    sample, report = sampling.stratified_sample(small, targets, id_col="pid", group="grp", stratum="stratum", seed="t")
+    assert sample.groupBy("grp").count().filter("count = 1").count() == 40 and report.filter("unmet").count() == 0
+    assert sampling._first_by_draw(sample.limit(0).select(F.col("id"), F.col("grp"), "stratum", F.lit(0.5).alias("u"), F.lit(1).alias("cell")), spark.createDataFrame([("1", "a", 2)], "grp string, stratum string, wanted long")).count() == 0
