@@ -3,8 +3,8 @@
 1. One pass counts how many texts hold each run of k words, by lossy counting per partition, and tells
    stock (runs that very many texts hold) from the other, rare runs.
 2. Each distinct text gets two bit fingerprints: FIELDS fields of 32 bits, the min-hashes of its rare and
-   of its stock runs. Field by field the lesser of the two is the min-hash of all runs; one bit of
-   each of the first HAMMING fields is the fingerprint by which a candidate is judged.
+   of its stock runs. Field by field the lesser of the two is the min-hash of all runs; two bits of
+   each of the first HAMMING fields are the fingerprint by which a candidate is judged.
 3. Blocks cut from the fingerprints (a few neighbouring fields each) meet across the two sides. A pair
    of similarity t shares either a part RARE_PART of t of its rare runs, and then blocks of the rare
    fingerprint, or much of its stock: how much at the least follows from the numbers of runs of the
@@ -27,7 +27,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.wordcodes import chunks, distinct_by_row, mix, shingles, words
@@ -42,7 +42,7 @@ RARE_BLOCKS, RARE_CHANCE = 32, 0.1
 #: Blocks of the stock fingerprint: so many of each width, as multiples of the narrowest, used where the fields of a block all
 #: agree with this chance.
 STOCK_BLOCKS, STOCK_CHANCE, STOCK_WIDTHS = 10, 0.3, (1, 2, 3, 4.5, 7)
-#: Bits of the fingerprint that the radius is measured on, and standard deviations of their number that are allowed.
+#: Two-bit symbols of the fingerprint that the radius is measured on, and standard deviations of their number that are allowed.
 HAMMING, DEVIATIONS = 128, 4.0
 #: Texts of one task whose copies are folded before they travel.
 REMEMBERED = 1 << 20
@@ -101,8 +101,8 @@ def _plan(threshold: float) -> tuple[int, list[tuple[int, float]], int]:
 
 
 def radius(threshold: float) -> int:
-    """Bits in which the fingerprints of a pair at the threshold differ, up to DEVIATIONS."""
-    p = (1 - threshold) / 2
+    """Symbols in which the fingerprints of a pair at the threshold differ, up to DEVIATIONS."""
+    p = (1 - threshold) * 3 / 4
     return int(HAMMING * p + DEVIATIONS * math.sqrt(HAMMING * p * (1 - p)))
 
 
@@ -150,8 +150,8 @@ def _fingerprints(k: int, stock: np.ndarray, threshold: float, side: int):
         n_stock = np.bincount(rows[common], minlength=n)
         n_rare = np.bincount(rows, minlength=n) - n_stock
         rare, often = _minima(codes[~common], rows[~common], n, max(HAMMING, rare_width * RARE_BLOCKS)), _minima(codes[common], rows[common], n, fields)
-        bits = (np.minimum(rare[:, :HAMMING], often[:, :HAMMING]) >> np.uint32(9)) & np.uint32(1)
-        prints = np.packbits(bits.astype(np.uint8), axis=1).view(">u8").astype(np.uint64)
+        symbols = ((np.minimum(rare[:, :HAMMING], often[:, :HAMMING]) >> np.uint32(9)) & np.uint32(3)).reshape(n, HAMMING // 32, 32).astype(np.uint64)
+        prints = (symbols << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
         owners, keys = [], []
 
         def emit(chosen: np.ndarray, minima: np.ndarray, width: int, blocks: int, tag: int) -> None:
@@ -176,8 +176,9 @@ def _fingerprints(k: int, stock: np.ndarray, threshold: float, side: int):
         held = np.unique(rows)
         offsets = np.searchsorted(owner[order], np.arange(n + 1)).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[order].view(np.int64)))
-        columns = [pa.array(cls), pa.array(prints[:, 0].copy().view(np.int64)), pa.array(prints[:, 1].copy().view(np.int64)), lists]
-        return pa.RecordBatch.from_arrays(columns, ["cls", "low", "high", "blocks"]).take(pa.array(held))
+        words_of = pa.FixedSizeListArray.from_arrays(pa.array(prints.ravel().view(np.int64)), HAMMING // 32).cast(pa.list_(pa.int64()))
+        columns = [pa.array(cls), pa.array((n_rare + n_stock).astype(np.int32)), words_of, lists]
+        return pa.RecordBatch.from_arrays(columns, ["cls", "runs", "print", "blocks"]).take(pa.array(held))
 
     def run(batches):
         seen: set[int] = set()
@@ -219,6 +220,12 @@ def runs_of(text: str, k: int) -> set:
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
 
 
+def _differing(a: Column, b: Column) -> Column:
+    """Two-bit symbols in which two numbers of 64 bits differ."""
+    x = a.bitwiseXOR(b)
+    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+
 def class_links(a: DataFrame, b: DataFrame, text: str, *, k: int = 5, threshold: float = 0.6) -> DataFrame:
     """(cls_a, cls_b, similarity) of the distinct texts of `a` and `b` that share at least `threshold`
     of their runs. A class is the 64-bit hash of a text. Null texts and texts under k words link to
@@ -230,19 +237,20 @@ def class_links(a: DataFrame, b: DataFrame, text: str, *, k: int = 5, threshold:
 
     def coded(texts: DataFrame, side: int) -> DataFrame:
         rows = texts.select(F.xxhash64("text").alias("cls"), "text")
-        return durable(rows.mapInArrow(_fingerprints(k, stock, threshold, side), "cls long, low long, high long, blocks array<long>"))
+        return durable(rows.mapInArrow(_fingerprints(k, stock, threshold, side), "cls long, runs int, print array<long>, blocks array<long>"))
 
     def blocks(side: DataFrame, n: str) -> DataFrame:
         # placed by block, so that the join moves nothing again
         return side.select(F.col("cls").alias(f"cls_{n}"), F.explode("blocks").alias("block")).repartition("block").distinct()
 
     def prints(side: DataFrame, n: str) -> DataFrame:
-        return side.select(F.col("cls").alias(f"cls_{n}"), F.col("low").alias(f"low_{n}"), F.col("high").alias(f"high_{n}")).dropDuplicates([f"cls_{n}"])
+        return side.select(F.col("cls").alias(f"cls_{n}"), F.col("runs").alias(f"runs_{n}"), F.col("print").alias(f"print_{n}")).dropDuplicates([f"cls_{n}"])
 
     x, y = coded(a, 0), coded(b, 1)
     met = blocks(x, "a").join(blocks(y, "b"), "block").select("cls_a", "cls_b").distinct()
-    apart = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b")))
-    near = durable(met.join(prints(x, "a"), "cls_a").join(prints(y, "b"), "cls_b").filter(apart <= radius(threshold)).select("cls_a", "cls_b"))
+    apart = sum(_differing(F.col("print_a")[i], F.col("print_b")[i]) for i in range(HAMMING // 32))
+    fits = F.least("runs_a", "runs_b") >= F.greatest("runs_a", "runs_b") * threshold - 1e-6
+    near = durable(met.join(prints(x, "a"), "cls_a").join(prints(y, "b"), "cls_b").filter(fits & (apart <= radius(threshold))).select("cls_a", "cls_b"))
 
     def wanted(side: DataFrame, n: str) -> DataFrame:
         rows = side.select(F.xxhash64("text").alias(f"cls_{n}"), F.col("text").alias(f"text_{n}"))
