@@ -44,29 +44,32 @@ class Canonicalizer:
 
     def __init__(self, entries: list[tuple[str, str, tuple[str, ...]]], keys_entered: bool = False):
         self.trie: dict = {}
-        self.exact: dict[str, str] = {}
-        self.keys: dict[str, str] = {plain(k).replace(" ", ""): k for k, _, _ in entries} if keys_entered else {}
-        short: dict[str, set[str]] = {}
+        self.listed = {k for k, _, _ in entries} if keys_entered else {n for _, n, _ in entries}
+        # forms by strength: keys, names, other names, swapped words, abbreviations
+        keys, names, others_, swapped, short = self.forms = tuple({} for _ in range(5))
         for key, name, others in entries:
+            if keys_entered:
+                keys.setdefault(plain(key).replace(" ", ""), set()).add(key)
             for n in (name, *others):
                 words = plain(n).split()
                 path = "".join(words)
-                self.exact.setdefault(path, key)
+                (names if n == name else others_).setdefault(path, set()).add(key)
                 if len(words) > 1:
-                    # a swapped form keeps the comma, so that it is told from a name
-                    self.exact.setdefault("".join(words[1:] + words[:1]), key)
+                    swapped.setdefault("".join(words[1:] + words[:1]), set()).add(key)
                     for cut in self._abbreviations(words[0]):
                         short.setdefault("".join([cut, *words[1:]]), set()).add(key)
                 self._add(path, key)
-        self.exact |= {s: next(iter(k)) for s, k in short.items() if len(k) == 1 and s not in self.exact}
+        self.longest = max((len(f) for d in self.forms[1:4] for f in d), default=0)
+        # an abbreviation of several entries means none of them
+        for s in [s for s, k in short.items() if len(k) > 1]:
+            del short[s]
         for s, k in short.items():
-            if len(k) == 1 and len(s) >= 6:
+            if len(s) >= 6:
                 self._add(s, next(iter(k)))
-        self.longest = max(map(len, self.exact), default=0)
         self._cached = lru_cache(1 << 16)(self._find)
 
-    def find(self, value: str) -> tuple[str, int]:
-        """(key or '', edits) of the entry meant by a value; short values are remembered."""
+    def find(self, value: str) -> tuple[str, int, list[tuple[str, int]]]:
+        """(key or '', edits, candidates) of the entry meant by a value; short values are remembered."""
         return self._cached(value) if len(value) <= 200 else self._find(value)
 
     @staticmethod
@@ -146,47 +149,62 @@ class Canonicalizer:
             yield form
             queue += [p.sub("", form) for p in _DECORATIONS]
 
-    def _find(self, value: str) -> tuple[str, int]:
-        """(key or '', edits) of the entry meant by a value: exact forms first, then the single nearest."""
+    def _find(self, value: str) -> tuple[str, int, list[tuple[str, int]]]:
+        """(key, edits, every entry in reach with its edits): exact forms first, then the single nearest. Without a key edits are
+        -1 if nothing is in reach and -2 if several entries are equally near."""
         forms = list(dict.fromkeys(f.replace(" ", "") for f in self._forms(value)))
-        for f in forms:
-            if f in self.keys:
-                return self.keys[f], 0
-            if f in self.exact:
-                return self.exact[f], 0
-        best: tuple[int, set[str]] = (9, set())
+        for d in self.forms[:1], self.forms[1:]:
+            for f in forms:
+                keys = next((x[f] for x in d if f in x), None)
+                if keys:
+                    return (min(keys), 0, [(min(keys), 0)]) if len(keys) == 1 else ("", -2, sorted((k, 0) for k in keys))
+        reach: dict[str, int] = {}
         for f in forms:
             limit = limit_for(len(f))
             if limit and len(f) <= self.longest + limit:
-                hits = self.near(f, limit)
-                if hits and hits[0][0] <= best[0]:
-                    keys = {k for d, k in hits if d == hits[0][0]}
-                    best = (hits[0][0], keys if hits[0][0] < best[0] else best[1] | keys)
-        return (next(iter(best[1])), best[0]) if len(best[1]) == 1 else ("", -1)
+                for d, k in self.near(f, limit):
+                    reach[k] = min(d, reach.get(k, d))
+        if not reach:
+            return "", -1, []
+        least = min(reach.values())
+        nearest = [k for k, d in reach.items() if d == least]
+        found = sorted(reach.items(), key=lambda x: (x[1], x[0]))
+        return (nearest[0], least, found) if len(nearest) == 1 else ("", -2, found)
 
 
 def _mapper(entries, keys_entered):
     def run(batches):
         finder = Canonicalizer(entries, keys_entered)
         for batch in batches:
-            found = [("", -1) if v is None else finder.find(v) for v in batch.column(batch.num_columns - 1).to_pylist()]
+            values = batch.column(0).to_pylist()
+            found = [finder.find(v) for v in values]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([k for k, _ in found], pa.string()), pa.array([d for _, d in found], pa.int32())],
-                [*batch.schema.names, "ref_key", "edits"])
+                [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32()),
+                 pa.array([[{"key": k, "edits": d} for k, d in f[2]] for f in found], pa.list_(pa.struct([("key", pa.string()), ("edits", pa.int32())]))),
+                 pa.array([v in finder.listed for v in values], pa.bool_())],
+                ["_value", "ref_key", "edits", "candidates", "as_listed"])
     return run
 
 
-def canonicalize(values: DataFrame, value: str, entries: list[tuple[str, str, tuple[str, ...]]], keys_entered: bool = False) -> DataFrame:
-    """`values` with ref_key (the entry meant, '' if none or if two are equally near) and edits (-1 if none).
+ADDED = ("ref_key", "edits", "candidates", "as_listed")
 
-    `entries` is a bounded reference list of (key, name, other names). Null and blank values mean no entry; repeated
-    values are each answered; values of any length are read whole. An empty table gives no rows.
-    The other columns are kept, except that earlier ref_key and edits are replaced.
+
+def canonicalize(values: DataFrame, value: str, entries: list[tuple[str, str, tuple[str, ...]]], keys_entered: bool = False) -> DataFrame:
+    """`values` with ref_key (the entry meant, '' if none or if several are equally near), edits (-1 if nothing is in reach, -2 if
+    several are equally near), candidates (every entry in reach, nearest first) and as_listed (the value is a name of the list,
+    or one of its keys with `keys_entered`, to the letter).
+
+    Each different value is searched once, however many rows have it, and joined back. `entries` is a
+    bounded reference list of (key, name, other names). Null and blank values mean no entry; values of
+    any length are read whole. An empty table gives no rows. The other columns are kept, except that
+    earlier ones of the added names are replaced.
     """
     ship(values.sparkSession)
-    rows = values.select(*[c for c in values.columns if c not in (value, "ref_key", "edits")], value)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_mapper(entries, keys_entered), f"{schema}, ref_key string, edits int")
+    rows = values.select(*[c for c in values.columns if c not in (value, *ADDED)], value)
+    different = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_value")).agg(F.lit(1).alias("_one")).select("_value")
+    mapped = different.mapInArrow(_mapper(entries, keys_entered), "_value string, ref_key string, edits int, candidates array<struct<key: string, edits: int>>, as_listed boolean")
+    joined = rows.join(mapped, F.col(value) == F.col("_value"), "left").drop("_value")
+    return joined.na.fill({"ref_key": "", "edits": -1, "as_listed": False})
 
 
 def reference(df: DataFrame, key: Column, name: Column, others: Column | None = None, bound: int = 100_000) -> list[tuple[str, str, tuple[str, ...]]]:
@@ -198,5 +216,5 @@ def reference(df: DataFrame, key: Column, name: Column, others: Column | None =
 
 
 def unmatched_report(mapped: DataFrame, value: str, *by: str) -> DataFrame:
-    """The values that mean no entry, with their number of occurrences."""
-    return mapped.filter(F.col("ref_key") == "").groupBy(*by, value).agg(F.count("*").alias("n"))
+    """The values that mean no entry, with their number of occurrences and whether that is because several entries are equally near."""
+    return mapped.filter(F.col("ref_key") == "").groupBy(*by, value).agg(F.count("*").alias("n"), F.bool_or(F.col("edits") == -2).alias("ambiguous"))

@@ -92,10 +92,9 @@ def p7_mapped(spark: SparkSession, d: str) -> DataFrame:
 
     places = rows.select("record_id", F.lit("region").alias("field_name"), F.lit(0).alias("pos"), F.col("location.region").alias("value"))
     entered = rows.select("record_id", F.lit("required_skills").alias("field_name"), F.posexplode("required_skills").alias("pos", "value"))
-    places = places.filter(stated(F.col("value")) & ~F.col("value").isin([k for k, _, _ in codes]))
-    entered = entered.filter(stated(F.col("value")) & ~F.col("value").isin([n for _, n, _ in names]))
-    return (canonical.canonicalize(places, "value", codes, keys_entered=True)
-            .unionByName(canonical.canonicalize(entered, "value", names)))
+    mapped = (canonical.canonicalize(places.filter(stated(F.col("value"))), "value", codes, keys_entered=True)
+              .unionByName(canonical.canonicalize(entered.filter(stated(F.col("value"))), "value", names)))
+    return mapped.filter(~F.col("as_listed"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

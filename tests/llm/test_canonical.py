@@ -44,13 +44,19 @@ def test_automaton_equals_brute_force():
 
 
 def test_equally_near_entries_mean_none():
-    assert c.Canonicalizer([("a", "abcdefg", ()), ("b", "abcdefh", ())]).find("abcdefx") == ("", -1)
+    finder = c.Canonicalizer([("a", "abcdefg", ()), ("b", "abcdefh", ()), ("c", "abcdexyz", ("qrs",)), ("d", "other", ("qrs", "abcdefg"))])
+    assert finder.find("abcdefx") == ("", -2, [("a", 1), ("b", 1), ("d", 1)])
+    assert finder.find("qrs") == ("", -2, [("c", 0), ("d", 0)])  # an other name of two entries
+    assert finder.find("abcdefg") == ("a", 0, [("a", 0)])  # a name is stronger than an other name
+    assert finder.find("zzzzzzzz") == ("", -1, [])
 
 
 def test_dataframe(spark):
     df = spark.createDataFrame([(1, "Norvale", "x"), (1, "Norvale", "x"), (2, None, "y"), (3, "", "z"), (4, "q" * 100_000, "z")], "ref_key int, v string, edits string")
     got = sorted((r.v or "", r.ref_key) for r in c.canonicalize(df, "v", REGIONS, True).collect())
     assert got[:2] == [("", ""), ("", "")] and ("Norvale", "NV") in got and len(got) == 5
+    listed = {r.v: (r.as_listed, r.edits) for r in c.canonicalize(df, "v", REGIONS).collect()}
+    assert listed["Norvale"] == (True, 0) and listed[""] == (False, -1) and listed[None] == (False, -1)
     assert c.canonicalize(df.limit(0), "v", REGIONS).count() == 0
     mapped = c.canonicalize(df.withColumnRenamed("ref_key", "n"), "v", REGIONS, True)
     assert c.unmatched_report(mapped.filter(F.length("v") > 9), "v").first().n == 1
