@@ -208,15 +208,29 @@ def stated_leaves(record: Column | None = None) -> Column:
 
 
 def degenerate(record: Column | None = None, raw_lists: Column | None = None) -> Column:
-    """Why a record is useless, or null: at most two stated leaves, a title under three characters, a list over its cap."""
+    """Why a record is useless, or null: at most two stated leaves, a title under three characters, a list over its cap.
+
+    `raw_lists` is the record before its lists were cut; without it the record's own lists are held against the caps.
+    """
     over = F.lit(False)
     for name, cap in LIST_CAPS.items():
-        over = over | (F.size(leaf(record, name)) > cap)
+        # canonical lists are cut to their cap: only the lists as they came can be over it
+        over = over | (F.size(leaf(raw_lists if raw_lists is not None else record, name)) > cap)
     return (F.when(stated_leaves(record) <= 2, "degenerate_all_null")
             .when(F.length(F.coalesce(tx.strip(leaf(record, "job_title")), F.lit(""))) < 3, "title_too_short")
             .when(F.coalesce(over, F.lit(False)), "list_overflow"))
 
 
+def valid(record: Column | None = None) -> Column:
+    """Does a record of canonical leaves keep the schema: a title, known members, amounts and years in bounds, a shaped date."""
+    ok = (F.coalesce(leaf(record, "job_title"), F.lit("")) != "") & F.coalesce(date_shaped(leaf(record, "application_deadline")), F.lit(True))
+    for path, members in MEMBERS.items():
+        ok = ok & F.coalesce(leaf(record, path).isin(*members), F.lit(True))
+    for path in ("salary.min_amount", "salary.max_amount"):
+        ok = ok & amount_ok(leaf(record, path))
+    return ok & F.coalesce(leaf(record, "years_experience_min").between(0, 50), F.lit(True))
+
+
 def same_value(of: Leaf, gold: Column, pred: Column) -> Column:
     """Equality by the leaf's comparator; null equals null only."""
     if of.is_set:

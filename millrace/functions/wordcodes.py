@@ -131,18 +131,3 @@ def distinct_by_row(codes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np
         keep[1:] = (codes[1:] != codes[:-1]) | (rows[1:] != rows[:-1])
         codes, rows = codes[keep], rows[keep]
     return codes, rows
-
-
-def leading(codes: np.ndarray, rows: np.ndarray, weights: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index, place, codes of the row) of each row's first codes by (weight, code): so many that any two
-    rows which share `threshold` of the codes that either has share one of these.
-
-    `codes` are the different codes of each row, as distinct_by_row gives them; a code's weight must be
-    the same everywhere. Exact for any weights; low ones for rare codes keep the matches few.
-    """
-    n = np.bincount(rows, minlength=0)[rows] if len(rows) else rows
-    order = np.lexsort((codes, weights, rows))
-    at = rows[order]
-    place = np.arange(len(at)) - np.searchsorted(at, at)
-    keep = place < n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-    return order[keep], place[keep], n[keep]

@@ -94,11 +94,28 @@ def generate(df: DataFrame, id_col: str, text: str, factory: Callable[[], Model]
     return sized.mapInPandas(run, f"id {kind}, output string, error string, seconds double")
 
 
-def verdict(finish: Column, error_kind: Column) -> Column:
-    """ok, permanent or transient, by why a completion ended and how it parsed: a cut or unfinished one may be better next time,
-    a complete one that breaks the schema won't."""
-    return (F.when(finish.isin("length", "max_tokens", "error", "cancelled") | finish.isNull(), "transient")
-            .when(error_kind.isNull(), "ok").when(error_kind == "schema_error", "permanent").otherwise("transient"))
+def verdict(finish: Column, error_kind: Column, structured: Column | bool = True) -> Column:
+    """ok, permanent or transient, by why a completion ended and how it parsed.
+
+    One that ended otherwise than by itself (out of its budget, filtered) would end so again: permanent. A
+    whole one that breaks the schema too. One without readable JSON was cut on its way and may be better
+    next time. An unstated finish is judged by the content; where no structure was asked for, anything is ok.
+    """
+    asked = F.lit(structured) if isinstance(structured, bool) else structured
+    stopped = F.coalesce(finish, F.lit("")).isin("", "stop", "STOP")
+    return (F.when(~asked, "ok").when(~stopped, "permanent").when(error_kind.isNull(), "ok").when(error_kind == "schema_error", "permanent").otherwise("transient"))
+
+
+def sampled(df: DataFrame, id_col: str, text: str, factory: Callable[[float, int], Model], k: int, temperature: float, **kw) -> DataFrame:
+    """(id, sample_idx, output, error, seconds): k outputs for each row, sample 0 at temperature 0 and the others at `temperature`.
+
+    `factory(temperature, sample_idx)` gives the model of a sample, so that draws at one temperature differ.
+    """
+    out = None
+    for i in range(k):
+        one = generate(df, id_col, text, lambda i=i: factory(temperature if i else 0.0, i), **kw).withColumn("sample_idx", F.lit(i))
+        out = one if out is None else out.unionByName(one)
+    return out.select("id", "sample_idx", "output", "error", "seconds")
 
 
 def empty_and_instant(output: Column, seconds: Column, under: float = 0.05) -> Column:

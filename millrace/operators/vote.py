@@ -47,7 +47,8 @@ def set_votes(df: DataFrame, id_col: str, sample: str, record: Column | None = N
 
 
 def vote_records(df: DataFrame, id_col: str, sample: str, record: Column | None = None) -> DataFrame:
-    """(id, record, agreement, least_agreement, status): the voted record; status low_agreement if a hard field agrees too little."""
+    """(id, record, agreement, least_agreement, status): the voted record; status vote_failed if it breaks the schema, as a vote can
+    mix leaves of several samples, and low_agreement if a hard field agrees too little."""
     scalars = scalar_votes(df, id_col, sample, record)
     sets = set_votes(df, id_col, sample, record)
     empty = F.array().cast("array<string>")
@@ -59,5 +60,5 @@ def vote_records(df: DataFrame, id_col: str, sample: str, record: Column | None
     flat = {x.path: F.col(x.path.replace(".", "__")) for x in rec.LEAVES}
     leaves = {x.path: F.coalesce(flat[x.path], empty) if x.is_set else (flat[x.path].cast("double") if x.comparator == "numeric" else flat[x.path]) for x in rec.LEAVES}
     least = F.array_min(F.transform(F.array(*[F.lit(f) for f in HARD_FIELDS]), lambda f: F.coalesce(F.try_element_at("agreement", f), F.lit(1.0))))
-    return wide.select("id", rec.nest(leaves).alias("record"), "agreement", least.alias("least_agreement"),
-                       F.when(least < LEAST_AGREEMENT, "low_agreement").otherwise("ok").alias("status"))
+    voted = wide.select("id", rec.nest(leaves).alias("record"), "agreement", least.alias("least_agreement"))
+    return voted.withColumn("status", F.when(~rec.valid(F.col("record")), "vote_failed").when(F.col("least_agreement") < LEAST_AGREEMENT, "low_agreement").otherwise("ok"))

@@ -1,6 +1,7 @@
 """Registered queries over records, votes, audits, scores, files and streams, with their SQL."""
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonx
 from ..functions import records as rec
 from ..functions import text as tx
-from ..operators import audit, infer, perturb, score, stats, vote
+from ..operators import audit, infer, label, perturb, score, stats, vote
 from ..runtime import durable, table
 from ..sources import files
 from ..streaming import incremental
@@ -248,14 +249,45 @@ def set_votes(spark, d):
     return vote.set_votes(rows, "posting_id", "record_id", F.col("r")).select(F.col("id").alias("posting_id"), "field", joined(F.col("items")).alias("items"), F.round("agreement", 9).alias("agreement"))
 
 
-@query(f"""with v as ({_VOTES}), m as (select posting_id, min(agreement) as a from v where field in ({", ".join(s.q(x) for x in vote.HARD_FIELDS)}) group by 1)
-select case when a < 0.67 then 'low_agreement' else 'ok' end as status, count(*) as n, round(sum(a), 6) as agreement from m group by 1""")
+def _valid_sql(cols: dict[str, str]) -> str:
+    parts = [f"coalesce({cols['job_title']}, '') <> ''", f"coalesce(regexp_full_match(trim({cols['application_deadline']}), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'), true)", f"coalesce({cols['years_experience_min']} between 0 and 50, true)"]
+    parts += [f"coalesce({cols[p]} in ({', '.join(s.q(m) for m in ms)}), true)" for p, ms in rec.MEMBERS.items()]
+    return " and ".join(parts)
+
+
+_VOTED = ", ".join(f"max(case when field = {s.q(x.path)} then {('cast(cast(value as double) as integer)' if x.type == 'int' else 'cast(value as double)') if x.comparator == 'numeric' else 'value'} end) as {s.name(x.path)}" for x in _SCALARS)
+_VOTED_SETS = ", ".join(f"max(case when field = {s.q(x.path)} then items end) as {s.name(x.path)}" for x in _SETS)
+_HARD = f"min(agreement) filter (field in ({', '.join(s.q(x) for x in vote.HARD_FIELDS)})) as a"
+
+
+@query(f"""with v as ({_VOTES}), m as (select posting_id, {_HARD}, {_VOTED} from v group by 1)
+select case when not ({_valid_sql(_COLS)}) then 'vote_failed' when a < 0.67 then 'low_agreement' else 'ok' end as status, count(*) as n, round(sum(a), 6) as agreement from m group by 1""")
 def vote_status(spark, d):
     rows = postings(spark, d).select("posting_id", "record_id", rec.canonical().alias("r"))
     voted = vote.vote_records(rows, "posting_id", "record_id", F.col("r"))
     return voted.groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum(F.round("least_agreement", 9)), 6).alias("agreement"))
 
 
+_PARSED = f"with c as (select * replace (trim(application_deadline) as application_deadline) from {CANON} where {_valid_sql(_COLS)})"
+
+
+@query(f"""with sv as ({_VOTES.replace(f"with c as {CANON}", _PARSED)}), tv as ({_SETVOTES.replace(f"with c as {CANON}", _PARSED).replace("array_to_string(coalesce(items, []), '|') as items", "coalesce(items, []) as items")}),
+m as (select posting_id, {_HARD}, {_VOTED} from sv group by 1), l as (select posting_id, {_VOTED_SETS} from tv group by 1), n as (select posting_id, count(*) as n from job_postings group by 1),
+p as ({_PARSED} select posting_id, count(*) as n_parsed from c group by 1), t as (select posting_id, {s.truncate('source_text')} as src from {_TRUTH}),
+g as (select t.posting_id, n.n, p.n_parsed, m.* exclude (posting_id), l.* exclude (posting_id), src from t left join n using (posting_id) left join p using (posting_id) left join m using (posting_id) left join l using (posting_id)),
+u as (select *, case when n_parsed > 0 and a >= 0.67 then {s.ungrounded(_COLS, 'src')} else [] end as bad from g)
+select posting_id, case when n is null then 'api_failed' when n_parsed is null then 'parse_failed' when a < 0.67 then 'low_agreement' when len(bad) > 0 then 'ungrounded' else 'ok' end as status,
+coalesce(n_parsed, 0) as n_parsed, array_to_string(bad, '|') as ungrounded, case when n_parsed > 0 and a >= 0.67 and len(bad) = 0 then job_title end as job_title,
+case when n_parsed > 0 and a >= 0.67 and len(bad) = 0 then array_to_string(required_skills, '|') end as required_skills from u""")
+def label_funnel(spark, d):
+    """Every posting's label from the raw outputs of all its samples, with the status of those that got none."""
+    samples = postings(spark, d).filter("posting_id is not null").select(F.col("posting_id").alias("id"), F.col("record_id").alias("sample_idx"), rec.to_json(rec.canonical()).alias("output"))
+    sources = table(spark, d, "raw_postings").filter("text is not null").groupBy(F.col("posting_id").alias("id")).agg(F.min("text").alias("text"))
+    out = label.label(samples, sources.filter("id is not null"))
+    r = F.col("record")
+    return out.select(F.col("id").alias("posting_id"), "status", "n_parsed", joined(F.col("ungrounded")).alias("ungrounded"), r["job_title"].alias("job_title"), joined(r["required_skills"]).alias("required_skills"))
+
+
 _META = ("title", "location", "min_salary", "max_salary", "pay_period", "currency", "formatted_work_type", "formatted_experience_level", "remote_allowed")
 
 
@@ -469,22 +501,32 @@ def restricted_macro(spark, d):
     return out.select(F.round("restricted_macro_f1", 9).alias("restricted_macro_f1"))
 
 
-def _first_words():
-    return lambda texts: [t.strip()[:40].upper() for t in texts]
+def _digests():
+    def model(texts):
+        if any("€" in t for t in texts):
+            raise ValueError("cannot read a text")
+        return [hashlib.md5(t.encode()).hexdigest() for t in texts]
+    return model
 
 
-@query("select row_id, text is not null as answered, cast(null as varchar) as error from raw_postings")
+@query("select row_id, case when not contains(text, '€') then md5(text) end as output, case when contains(text, '€') then 'ValueError: cannot read a text' end as error from raw_postings")
 def model_outputs(spark, d):
-    """Batched calls of a stand-in model, packed by cost."""
-    out = infer.generate(table(spark, d, "raw_postings"), "row_id", "text", _first_words)
-    return out.select(F.col("id").alias("row_id"), F.col("output").isNotNull().alias("answered"), "error")
+    """Batched calls of a stand-in model, packed by cost; the texts it can't read keep their rows with an error."""
+    return infer.generate(table(spark, d, "raw_postings"), "row_id", "text", _digests).select(F.col("id").alias("row_id"), "output", "error")
+
+
+_FINISHES = ("stop", "length", "STOP", None, "content_filter", "")
+_FINISH = "case batch " + " ".join(f"when {i + 1} then {s.q(f) if f is not None else 'null'}" for i, f in enumerate(_FINISHES)) + " end"
 
 
-@query("""select case when status = 'ok' and target_json is null then 'transient' when status = 'low_agreement' then 'transient' when target_json is null then 'transient' else 'ok' end as verdict, count(*) as n from train group by 1""")
+@query("select form, verdict, count(*) as n from (" + " union all ".join(
+    f"""select {i} as form, case when {_FINISH} in ('length', 'content_filter') then 'permanent' when {k} = 'schema_error' then 'permanent' when {k} in ('no_json', 'json_decode_error') then 'transient' else 'ok' end as verdict
+from train where target_json is not null""" for i, k in enumerate(_KINDS)) + ") t group by 1, 2")
 def completion_verdicts(spark, d):
-    """Completions by whether another attempt could help."""
-    t = table(spark, d, "train").select(F.when(F.col("status") == "low_agreement", "length").otherwise("stop").alias("finish"), jsonx.parse_record()(F.col("target_json")).alias("p"))
-    return t.groupBy(infer.verdict(F.col("finish"), F.col("p.error_kind")).alias("verdict")).agg(F.count("*").alias("n"))
+    """Outputs of parsed_output, ended in every way, by whether another attempt could help."""
+    finish = F.element_at(F.array(*[F.lit(f).cast("string") for f in _FINISHES]), F.col("batch"))
+    out = parsed_output(spark, d).select("form", infer.verdict(finish, F.col("error_kind")).alias("verdict"))
+    return out.groupBy("form", "verdict").agg(F.count("*").alias("n"))
 
 
 # ---- perturbations ------------------------------------------------------------------------------

@@ -35,10 +35,12 @@ def ship(spark: SparkSession) -> None:
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names.
 
-    A folder of our own is set only where the session names none (tests, local runs).
+    A folder of our own is set only where the session names none and runs on this machine alone (tests).
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
     return df.checkpoint()

@@ -37,5 +37,22 @@ def test_batches_respect_the_budget():
 
 
 def test_verdict(spark):
-    df = spark.createDataFrame([("stop", None), ("stop", "schema_error"), ("length", None), ("stop", "no_json"), (None, None)], "f string, e string")
-    assert [r.v for r in df.select(infer.verdict(F.col("f"), F.col("e")).alias("v")).collect()] == ["ok", "permanent", "transient", "transient", "transient"]
+    cases = [("stop", None, "ok"), ("stop", "schema_error", "permanent"), ("length", None, "permanent"), ("length", "no_json", "permanent"), ("stop", "no_json", "transient"), ("STOP", "json_decode_error", "transient"),
+             (None, None, "ok"), (None, "no_json", "transient"), ("", "schema_error", "permanent"), ("content_filter", None, "permanent")]
+    df = spark.createDataFrame(cases, "f string, e string, want string")
+    assert all(r.v == r.want for r in df.select("want", infer.verdict(F.col("f"), F.col("e")).alias("v")).collect())
+    assert all(r.v == "ok" for r in df.select(infer.verdict(F.col("f"), F.col("e"), structured=False).alias("v")).collect())
+
+
+def test_empty_and_instant(spark):
+    df = spark.createDataFrame([(None, 0.0), ("  ", 0.01), ("x", 0.0), ("", 1.0)], "o string, s double")
+    assert [r.v for r in df.select(infer.empty_and_instant(F.col("o"), F.col("s")).alias("v")).collect()] == [True, True, False, False]
+
+
+def test_samples(spark):
+    def factory(temperature, index):
+        return lambda texts: [f"{t}/{temperature}/{index}" for t in texts]
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k int, t string")
+    got = sorted((r.id, r.sample_idx, r.output) for r in infer.sampled(df, "k", "t", factory, 3, 0.4).collect())
+    assert got == [(1, 0, "a/0.0/0"), (1, 1, "a/0.4/1"), (1, 2, "a/0.4/2"), (2, 0, None), (2, 1, None), (2, 2, None)]
