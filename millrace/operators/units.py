@@ -2,8 +2,10 @@
 
 A unit string ("from US$52,300 p.a.", "Rs. 54.5 lakh p.a.", "3.690 € brutto im Monat") is segmented by
 dynamic programming over three tries: prefixes (scale words and lead-ins), roots (the units of each
-dimension) and exponents (what marks a unit as a divisor: "/", "per", "a", "p."). Of all segmentations
-the cheapest wins; a root that fits several dimensions or units is decided by priors of the field.
+dimension) and exponents (what marks a unit as a divisor: "/", "per", "a", "p."; powers: "²", "^-1"). In a
+grammar with `prefixes` these attach to roots and roots to each other ("km/h", "kWh", "m/s^2"). Of all
+segmentations the cheapest wins; a root that fits several dimensions or units is decided by priors of the
+field.
 """
 from __future__ import annotations
 
@@ -35,12 +37,22 @@ PERIOD_MARKS = {
 }
 # Scale words after a number.
 SCALES = {"k": 1e3, "tsd": 1e3, "lakh": 1e5, "lakhs": 1e5, "lac": 1e5, "l": 1e5, "m": 1e6, "mn": 1e6, "mio": 1e6, "crore": 1e7, "cr": 1e7, "lpa": 1e5}
+# Decimal prefixes of units, and how powers are written.
+PREFIXES = {"p": 1e-12, "n": 1e-9, "µ": 1e-6, "μ": 1e-6, "m": 1e-3, "c": 1e-2, "d": 1e-1, "h": 1e2, "k": 1e3, "M": 1e6, "G": 1e9, "T": 1e12,
+            "micro": 1e-6, "milli": 1e-3, "centi": 1e-2, "kilo": 1e3, "mega": 1e6, "giga": 1e9}
+POWERS = {"²": 2, "³": 3, "^2": 2, "^3": 3, "2": 2, "3": 3, "-1": -1, "-2": -2, "^-1": -1, "^-2": -2, "⁻¹": -1, "⁻²": -2}
 # What marks a divisor, and words that carry no unit.
 DIVISORS = ("/", "per", "a", "an", "pro", "im", "par", "por", "al", "the", "each")
 FILLERS = ("from", "base", "circa", "ca", "starting", "at", "pay", "salary", "to", "and", "up", "about", "brutto", "gross", "netto", "net", "rate", "of", "is", "we", "offer", "plus",
            ":", "-", "–", "—", ",", ".", ";", "(", ")", "~", "+", "approx", "min", "max", "minimum", "maximum", "between", "bis", "von", "ab")
 
 
+#: Stands for a number within a text that is segmented.
+SLOT = "\ue000"
+#: State of the segmentation behind a part that is complete.
+_START = (False, False, None, False)
+
+
 class Trie:
     """Characters to meanings; `walk` gives every entry that begins at a place."""
 
@@ -72,6 +84,10 @@ class UnitGrammar:
 
     roots: dict
     scales: dict = field(default_factory=lambda: SCALES)
+    scaled: tuple = ("lpa",)  # scale words that state a unit as well
+    divided: tuple = ("period",)  # dimensions that are expected behind a divisor
+    prefixes: dict = field(default_factory=dict)  # attach to roots; with them letters are told by case and roots may be joined
+    powers: dict = field(default_factory=lambda: POWERS)
     divisors: tuple = DIVISORS
     fillers: tuple = FILLERS
     priors: dict = field(default_factory=dict)
@@ -90,10 +106,12 @@ class UnitParser:
             for mark, unit in marks.items():
                 roots.setdefault(mark, []).append(("root", dimension, unit))
         self.roots = Trie(roots)
-        self.prefixes = Trie({**{s: [("scale", "", v)] for s, v in grammar.scales.items() if s not in roots}, "#": [("number", "", None)]})
-        both = {s: v for s, v in grammar.scales.items() if s in roots}
+        self.prefixes = Trie({**{s: [("scale", "", v)] for s, v in grammar.scales.items() if s not in roots or s not in grammar.scaled}, SLOT: [("number", "", None)]})
+        both = {s: v for s, v in grammar.scales.items() if s in roots and s in grammar.scaled}
         self.scaled = Trie({s: [("scaled root", d, (v, u)) for _, d, u in roots[s]] for s, v in both.items()})
         self.exponents = Trie({d: [("divisor", "", None)] for d in grammar.divisors} | {f: [("filler", "", None)] for f in grammar.fillers})
+        self.attached = Trie({p: [v] for p, v in grammar.prefixes.items()})
+        self.powers = Trie({p: [v] for p, v in grammar.powers.items()} if grammar.prefixes else {})
         self.segment = lru_cache(1 << 16)(self._segment)
 
     @staticmethod
@@ -104,59 +122,102 @@ class UnitParser:
         return left and right
 
     def _segment(self, text: str, name: str) -> tuple:
-        """Cheapest list of (kind, dimension, value) of a text whose numbers stand as '#'.
+        """Cheapest list of (kind, dimension, value) of a text whose numbers stand as SLOT.
 
-        State: place, whether a divisor is open (a root of a period may follow it more cheaply) and
-        whether a number comes directly before (a scale word may follow it only then).
+        State: place, whether a divisor is open (a root of a period may follow it more cheaply), whether a
+        number comes directly before (a scale word may follow it only then), the prefix that waits for its root, and
+        whether a word goes on that has been read as joined roots so far. Only the cheapest way to a state is kept.
         """
         priors = self.grammar.priors.get(name, {})
-        text = text.casefold().strip()
-        best = {(0, False, False): (0.0, ())}
+        compound = bool(self.grammar.prefixes)
+        text = text.strip() if compound else text.casefold().strip()
+        waiting: list[dict] = [{} for _ in range(len(text) + 1)]
+        waiting[0][False, False, None, False] = (0.0, ())
         for at in range(len(text)):
-            for state in [s for s in best if s[0] == at]:
-                cost, parts = best.pop(state)
-                _, open_divisor, after_number = state
+            for (open_divisor, after_number, prefix, joined), (cost, parts) in waiting[at].items():
                 steps = []
-                if text[at].isspace():
-                    steps.append((at + 1, open_divisor, after_number, 0.0, None))
+                if compound:
+                    self._joined(text, at, open_divisor, prefix, joined, priors, steps)
+                if prefix is not None or joined:
+                    pass
+                elif text[at].isspace():
+                    steps.append((at + 1, (open_divisor, after_number, None, False), 0.0, None))
                 else:
-                    steps.append((at + 1, False, False, 4.0, None))  # an unread character
+                    steps.append((at + 1, _START, 4.0, None))  # an unread character
                     for trie in (self.prefixes, self.scaled, self.roots, self.exponents):
                         for end, (kind, dimension, value) in trie.walk(text, at):
                             if not self._bounded(text, at, end):
                                 continue
                             part = (kind, dimension, value)
                             if kind == "number":
-                                steps.append((end, False, True, 0.0, part))
+                                steps.append((end, (False, True, None, False), 0.0, part))
                             elif kind == "scale" and after_number:
-                                steps.append((end, False, False, 0.5, part))
+                                steps.append((end, _START, 0.5, part))
                             elif kind == "scaled root" and after_number:
-                                steps.append((end, False, False, 0.4 + priors.get(dimension, 0.0), part))
-                            elif kind == "root":
-                                odd = 0.0 if open_divisor == (dimension == "period") else (0.3 if dimension == "period" else 1.5)
+                                steps.append((end, _START, 0.4 + priors.get(dimension, 0.0), part))
+                            elif kind == "root" and not compound:
+                                divided = dimension in self.grammar.divided
+                                odd = 0.0 if open_divisor == divided else (0.3 if divided else 1.5)
                                 short = 0.8 if end - at == 1 and text[at].isalpha() else 0.0
-                                steps.append((end, False, False, 1.0 + odd + short - 0.05 * (end - at) + priors.get(dimension, 0.0), part))
+                                steps.append((end, _START, 1.0 + odd + short - 0.05 * (end - at) + priors.get(dimension, 0.0), part))
                             elif kind == "divisor":
-                                steps.append((end, True, False, 0.6, None))
+                                steps.append((end, (True, False, None, False), 0.6, None))
                             elif kind == "filler":
-                                steps.append((end, False, False, 0.7, None))
-                for end, d, n, step, part in steps:
-                    key, total = (end, d, n), cost + step
-                    if key not in best or total < best[key][0]:
-                        best[key] = (total, parts if part is None else (*parts, part))
-        ends = [v for (at, *_), v in best.items() if at == len(text)]
+                                steps.append((end, _START, 0.7, None))
+                for end, state, step, part in steps:
+                    total = cost + step
+                    if state not in waiting[end] or total < waiting[end][state][0]:
+                        waiting[end][state] = (total, parts if part is None else (*parts, part))
+            waiting[at] = {}
+        ends = [v for (_, _, prefix, joined), v in waiting[-1].items() if prefix is None]
         return min(ends, key=lambda x: x[0])[1] if ends else ()
 
+    def _joined(self, text: str, at: int, open_divisor: bool, prefix: float | None, joined: bool, priors: dict, steps: list) -> None:
+        """Steps of a prefix or a root with its power, which may begin inside a word only behind others."""
+        if prefix is None and not joined and at and text[at].isalpha() and text[at - 1].isalpha():
+            return
+        if prefix is None:
+            for end, factor in self.attached.walk(text, at):
+                if end < len(text) and text[end].isalpha():
+                    steps.append((end, (open_divisor, False, factor, True), 0.3, None))
+        for end, (_, dimension, unit) in self.roots.walk(text, at):
+            for stop, power in [(end, 1), *((b, p) for b, p in self.powers.walk(text, end))]:
+                goes_on = stop < len(text) and text[stop].isalpha() and text[stop - 1].isalpha()
+                part = ("power", dimension, (unit, prefix or 1.0, -power if open_divisor else power))
+                steps.append((stop, (open_divisor and goes_on, False, None, goes_on), 1.0 - 0.05 * (stop - at) + priors.get(dimension, 0.0), part))
+
+    def quantity(self, text: str, name: str, factors: dict[str, float]) -> tuple[float | None, dict[str, int]]:
+        """(lowest amount of a text in base units or None, power of each dimension), by the factor of each unit to its base."""
+        amounts, parts = self._slotted(text, name)
+        factor, powers = 1.0, {}
+        for kind, dimension, value in parts:
+            if kind == "scale":
+                factor *= value
+            elif kind == "power":
+                unit, prefix, power = value
+                if unit not in factors:
+                    return None, {}
+                factor *= (prefix * factors[unit]) ** power
+                powers[dimension] = powers.get(dimension, 0) + power
+        return (min(amounts) * factor if amounts else None), {d: p for d, p in sorted(powers.items()) if p}
+
+    def _slotted(self, text: str, name: str) -> tuple[list[float], tuple]:
+        """(numbers, segments) of a text."""
+        numbers: list[float] = []
+        pattern = _NUMBER_NO_POWER if self.grammar.prefixes else _NUMBER
+        slots = pattern.sub(lambda m: numbers.append(plain_number(m.group())) or SLOT, text.replace(SLOT, " "))
+        return numbers, self.segment(slots, name)
+
     def read(self, text: str, name: str) -> tuple[float | None, dict[str, str]]:
         """(lowest amount as written or None, unit of each dimension that the text names once)."""
-        numbers: list[str] = []
-        slots = _NUMBER.sub(lambda m: numbers.append(m.group()) or "#", text)
-        amounts: list[float] = []
+        amounts, parts = self._slotted(text, name)
         units: dict[str, str] = {}
         scale = None
-        for kind, dimension, value in self.segment(slots, name):
+        for kind, dimension, value in parts:
             if kind == "number":
-                amounts.append(plain_number(numbers[len(amounts)]))
+                continue
+            if kind == "power":
+                units.setdefault(dimension, value[0])
             elif kind == "scale":
                 scale = value
             elif kind == "scaled root":
@@ -168,6 +229,8 @@ class UnitParser:
 
 
 _NUMBER = re.compile(r"\d(?:[\d.,'’  ]*\d)?")
+#: The same without a power that ends a unit: one digit behind a letter, '^' or their '-'.
+_NUMBER_NO_POWER = re.compile(r"(?<![^\W\d_])(?<!\^)(?<!\^-)(?<![^\W\d_]-)\d(?:[\d.,'’  ]*\d)?")
 
 
 def plain_number(text: str) -> float:
@@ -249,6 +312,26 @@ def to_usd_per_year(df: DataFrame, units: DataFrame, *, id_col: str, amount: str
                            f"id {kind}, unit_currency string, unit_period string, usd_per_year double, magnitude double, stated_in string")
 
 
+def to_base_units(df: DataFrame, *, id_col: str, text: str, name: str, grammar: UnitGrammar, factors: dict[str, float]) -> DataFrame:
+    """(id, amount, dimensions): the quantity that a text states, in base units, and its powers of dimensions ('length time^-1').
+
+    `factors` gives each unit's size in its base unit; `name` is the field, whose priors decide between
+    readings. The amount is null where the text states none; null and blank texts state nothing.
+    Repeated rows are each read, an empty table gives no rows, other columns are ignored.
+    """
+    ship(df.sparkSession)
+
+    def run(batches):
+        parser = UnitParser(grammar)
+        for batch in batches:
+            out = [parser.quantity(t, name, factors) if t else (None, {}) for t in batch.column(1).to_pylist()]
+            shape = [" ".join(d if p == 1 else f"{d}^{p}" for d, p in powers.items()) for _, powers in out]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in out], pa.float64()), pa.array(shape, pa.string())], ["id", "amount", "dimensions"])
+
+    kind = df.select(F.col(id_col)).schema[0].dataType.simpleString()
+    return df.select(F.col(id_col).alias("id"), F.expr(text).alias("text")).mapInArrow(run, f"id {kind}, amount double, dimensions string")
+
+
 def in_band(df: DataFrame, bands: DataFrame, value: str) -> DataFrame:
     """`df` with band_id of the half-open band [low_usd, high_usd) that holds `value`, rows without one left out.
 
