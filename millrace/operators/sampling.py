@@ -45,9 +45,12 @@ def quota_sample(df: DataFrame, stratum: str, shares: dict[str, float], n: int,
     quota = F.coalesce(*[F.when(F.col(stratum) == s, F.lit(round(n * share))) for s, share in shares.items()], F.lit(0))
     order = hash_order(F.col(id_col), seed)
     keys = durable(df.select(id_col, stratum))
-    chosen = durable(first_of_group(keys, [stratum], order, quota).withColumn("_pass", F.lit(0)))
-    fill = prefix(keys.join(chosen.select(id_col), id_col, "left_anti").withColumn("_pass", F.lit(1)), [order], n)
-    picked = chosen.unionByName(fill).orderBy("_pass", order).limit(n).select(id_col)
+    chosen = durable(first_of_group(keys, [stratum], order, quota).select(id_col))
+    got = chosen.count()
+    if got > n:  # the rounded quotas are over n together
+        picked = first_of_group(chosen, [], order, F.lit(n))
+    else:
+        picked = chosen.unionByName(first_of_group(keys.join(chosen, id_col, "left_anti").select(id_col), [], order, F.lit(n - got)))
     return df.join(picked, id_col, "left_semi")
 
 
@@ -106,12 +109,16 @@ def grouped_split(groups: DataFrame, key: str, size: str, first: str, n_test: in
 
 
 def capped_minority(df: DataFrame, minority: Column, order: Column, share: float = 0.10) -> DataFrame:
-    """All other rows, and of the minority the first int(share x all rows) in order."""
-    marked = df.withColumn("_minor", minority)
-    counts = marked.agg(F.floor(F.lit(share) * F.count("*")).alias("_cap"))
-    cap = counts.first()[0]
-    few = marked.filter("_minor").orderBy(order).limit(int(cap or 0))
-    return marked.filter(~F.col("_minor")).unionByName(few).drop("_minor")
+    """All other rows, and of the minority the first int(share x all rows) in order; a null `minority` is none.
+
+    The place of the cut comes from running counts over ranges of the order, so that no task holds the
+    whole minority. Rows equal in the order are told apart by a hash of all their columns.
+    """
+    marked = df.withColumn("_minor", F.coalesce(minority, F.lit(False)))
+    cap = marked.agg(F.floor(F.lit(share) * F.count("*"))).first()[0] or 0
+    rows = marked.filter("_minor").withColumn("_order", order).withColumn("_tie", F.xxhash64(*df.columns))
+    few = running(rows, ["_order", "_tie"], out="_place").filter(F.col("_place") < int(cap)).select(*df.columns)
+    return marked.filter(~F.col("_minor")).select(*df.columns).unionByName(few)
 
 
 def one_per_category(df: DataFrame, tags: str, categories: list[str], order: list, n: int) -> DataFrame:

@@ -62,8 +62,10 @@ def judge(l: Column) -> Column:
         pick(both, hit).alias("tp"), pick(n_p - both, ~p_null & ~hit).alias("fp"), pick(n_g - both, ~g_null & ~hit).alias("fn"), pick(((n_g == 0) & (n_p == 0)).cast("int"), g_null & p_null).alias("tn"))
 
 
-def score_pairs(pairs: DataFrame, gold: str, pred: str, source: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per pair: correctness, emissions, nulls, counts of each leaf, unsupported fields.
+def score_pairs(pairs: DataFrame, gold: str, pred: str, source: str | None = None, keep: tuple[str, ...] = (), strict: str | None = None, latency: str | None = None) -> DataFrame:
+    """One row per pair: validity, correctness, emissions, nulls, counts of each leaf, unsupported fields, seconds.
+
+    `strict` tells whether the raw output as a whole was the record (unstated: no), `latency` its seconds (unstated: 0).
 
     A pair with a null prediction isn't skipped: every stated gold leaf is missed, every null one credited.
     """
@@ -72,7 +74,8 @@ def score_pairs(pairs: DataFrame, gold: str, pred: str, source: str | None = Non
     parsed = p.isNotNull()
     n = lambda rule: F.size(F.filter("counts", rule))
     return rows.select(
-        *keep, parsed.alias("parsed"), (parsed & F.forall("counts", lambda c: c["ok"])).alias("exact_match"),
+        *keep, parsed.alias("parsed"), (parsed & F.coalesce(F.col(strict), F.lit(False)) if strict else F.lit(False)).alias("strict"),
+        (F.coalesce(F.col(latency).cast("double"), F.lit(0.0)) if latency else F.lit(0.0)).alias("latency_s"), (parsed & F.forall("counts", lambda c: c["ok"])).alias("exact_match"),
         F.map_from_entries(F.transform("counts", lambda c: F.struct(c["field"], F.when(parsed, c["ok"]).otherwise(c["g_null"])))).alias("field_correct"),
         F.when(parsed, n(lambda c: ~c["p_none"])).otherwise(0).alias("n_emitted"), F.when(parsed, n(lambda c: ~c["p_none"] & c["g_none"])).otherwise(0).alias("n_over_emitted"),
         n(lambda c: c["g_null"]).alias("n_gold_null"), n(lambda c: c["g_null"] & (~parsed | c["p_null"])).alias("n_correct_null"),
@@ -111,15 +114,16 @@ def restricted_macro(counts: DataFrame, fields: list[str], by: tuple[str, ...] =
 
 
 def rates(scored: DataFrame, by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
-    """(by..., n, parse_rate, exact_match, hallucination_rate, over_emission_rate, null_recall); empty denominators count as 1."""
+    """(by..., n, strict_rate, parse_rate, exact_match, hallucination_rate, over_emission_rate, null_recall, mean_latency_s); empty
+    denominators count as 1. strict_rate is of outputs that are the record as a whole, parse_rate (lenient) of those that hold one."""
     w = weight if weight is not None else F.lit(1)
     s = lambda c: F.sum(c * w)
     share = lambda a, b: s(a) / F.greatest(s(b), F.lit(1))
     one = F.lit(1)
     return scored.groupBy(*by).agg(
-        s(one).alias("n"), share(F.col("parsed").cast("int"), one).alias("parse_rate"), share(F.col("exact_match").cast("int"), one).alias("exact_match"),
+        s(one).alias("n"), share(F.col("strict").cast("int"), one).alias("strict_rate"), share(F.col("parsed").cast("int"), one).alias("parse_rate"), share(F.col("exact_match").cast("int"), one).alias("exact_match"),
         share(F.size("ungrounded"), F.col("n_emitted")).alias("hallucination_rate"), share(F.col("n_over_emitted"), F.col("n_emitted")).alias("over_emission_rate"),
-        share(F.col("n_correct_null"), F.col("n_gold_null")).alias("null_recall"))
+        share(F.col("n_correct_null"), F.col("n_gold_null")).alias("null_recall"), share(F.col("latency_s"), one).alias("mean_latency_s"))
 
 
 def exact_leaf_rate(pairs: DataFrame, gold: str, pred: str) -> DataFrame:

@@ -338,7 +338,8 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return score.score_pairs(pairs(spark, d), "gold", "pred", "source_text", ("posting_id",))
+    rows = pairs(spark, d).withColumn("strict", F.length("source_text") % 3 == 0).withColumn("seconds", F.length("source_text") / 1000)
+    return score.score_pairs(rows, "gold", "pred", "source_text", ("posting_id",), "strict", "seconds")
 
 
 _PAIRS = f"""c as {CANON}, z as (select *, row_number() over (partition by posting_id, sample_idx order by record_id) as rn from c where sample_idx < 2 and posting_id is not null),
@@ -397,7 +398,8 @@ def example_scores(spark, d):
 
 @query(f"""with {_PAIRS}, e as ({_EXAMPLE}) select count(*) as n, round(avg(cast(parsed as integer)), 9) as parse_rate, round(avg(cast(exact_match as integer)), 9) as exact_match,
 round(sum(len(ungrounded)) / greatest(sum(n_emitted), 1), 9) as hallucination_rate, round(sum(n_over_emitted) / greatest(sum(n_emitted), 1), 9) as over_emission_rate,
-round(sum(n_correct_null) / greatest(sum(n_gold_null), 1), 9) as null_recall from e""")
+round(sum(n_correct_null) / greatest(sum(n_gold_null), 1), 9) as null_recall,
+round(sum(cast(parsed and n_chars % 3 = 0 as integer)) / count(*), 9) as strict_rate, round(sum(n_chars / 1000) / count(*), 9) as mean_latency_s from e join (select posting_id, length(source_text) as n_chars from {_TRUTH}) using (posting_id)""")
 def score_rates(spark, d):
     r = score.rates(scored(spark, d))
     return r.select("n", *[F.round(c, 9).alias(c) for c in r.columns if c != "n"])

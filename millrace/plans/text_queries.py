@@ -198,6 +198,21 @@ def dedup_report(spark, d):
     return dedup.dedup_report(dedup.deduplicate(table(spark, d, "documents"), "doc_id", "text"))
 
 
+def _runs_sql(table: str, key: str) -> str:
+    return f"""select {key}, list_distinct({s.shingles('w')}) as runs from (select {key}, {s.words('source_text')} as w from {table} where source_text is not null) t"""
+
+
+@query(f"""with a as ({_runs_sql('train', 'posting_id')}), b as ({_runs_sql('heldout', 'posting_id, split')}), x as (select row_number() over () as i, runs from (select distinct runs from a)),
+y as (select row_number() over () as j, runs from (select distinct runs from b)), p as (select i, j, count(*) as k from (select i, unnest(runs) as run from x) u join (select j, unnest(runs) as run from y) v using (run) group by 1, 2),
+l as (select distinct j from p join x using (i) join y using (j) where k / (len(x.runs) + len(y.runs) - k) >= 0.6)
+select split, count(*) as n_records, count(j) as n_near from b left join (select runs, j from l join y using (j)) q using (runs) group by 1""")
+def leakage_probe(spark, d):
+    """Per evaluation split its rows and those with a near copy (0.6) in the training rows."""
+    held = table(spark, d, "heldout").filter("source_text is not null")
+    near = dedup.near_copies_across(table(spark, d, "train"), held, "posting_id", "source_text")
+    return held.join(near.withColumnRenamed("id", "posting_id"), "posting_id", "left").groupBy("split").agg(F.count("*").alias("n_records"), F.count("similarity").alias("n_near"))
+
+
 # ---- orders, quotas, splits ---------------------------------------------------------------------
 
 
@@ -240,10 +255,10 @@ def grouped_split(spark, d):
 
 
 @query("""with m as (select posting_id, batch, row_number() over (order by posting_id, batch, labeled_at) as i, status <> 'ok' as minor, count(*) over () as n from train),
-r as (select *, row_number() over (partition by minor order by i) as k from m) select posting_id, batch from r where not minor or k <= floor(0.02 * n)""")
+r as (select *, row_number() over (partition by minor order by i) as k from m) select posting_id, batch from r where not minor or k <= floor(0.1 * n)""")
 def capped_minority(spark, d):
     rows = table(spark, d, "train").select("posting_id", "batch", "status", "labeled_at")
-    return sampling.capped_minority(rows, F.col("status") != "ok", F.struct("posting_id", "batch", "labeled_at"), 0.02).select("posting_id", "batch")
+    return sampling.capped_minority(rows, F.col("status") != "ok", F.struct("posting_id", "batch", "labeled_at")).select("posting_id", "batch")
 
 
 @query("""select posting_id, batch, row_number() over (order by posting_id, batch, labeled_at) as place from train qualify place <= 200""")
