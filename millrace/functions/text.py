@@ -179,6 +179,22 @@ def build_messages(text: Column, system: str = "Answer with one JSON object only
     return F.concat(first, shown, last)
 
 
+# How turns are marked in rendered training texts.
+TURN_START, TURN_END = "<|im_start|>", "<|im_end|>"
+ANSWER_MARK = TURN_START + "assistant\n"
+
+
+def render_turns(messages: Column) -> Column:
+    """A conversation (array<struct<role, content>>) as one text with marked turns."""
+    return F.array_join(F.transform(messages, lambda m: F.concat(F.lit(TURN_START), m["role"], F.lit("\n"), F.coalesce(m["content"], F.lit("")), F.lit(TURN_END + "\n"))), "")
+
+
+def trained_part(rendered: Column, mark: str = ANSWER_MARK) -> Column:
+    """What is behind the last answer mark: all that completion-only training learns from. Null if there is no mark, so that
+    a template without it is noticed and doesn't train on the prompt."""
+    return F.when(F.contains(rendered, F.lit(mark)), F.substring_index(rendered, mark, -1))
+
+
 def extract_record(text: Column) -> Column:
     """A record read off a text by patterns alone: the first amount that has a currency or 'k', years, key words.
 

@@ -10,8 +10,29 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonx
 from ..functions import records as rec
+from ..functions import text as tx
 from . import vote
 
+def extraction(df: DataFrame, id_col: str, text: str, output: str) -> DataFrame:
+    """(id, status, record_json, n_filled, ungrounded, read_chars): what an extraction shows for each row.
+
+    status is empty_input for a blank text, else why the output isn't a record (no_json, json_decode_error,
+    schema_error), else ok. n_filled counts the top-level fields that state something, parts always; read_chars is
+    the length of the truncated text where it was cut, else null.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), jsonx.parse_record()(F.col(output)).alias("_p")).withColumn("_r", rec.from_json(F.col("_p.record_json")))
+    filled = F.lit(0)
+    for name in rec.SCHEMA.names:
+        value = F.col("_r")[name]
+        filled = filled + (value.isNotNull() & (F.size(value) > 0) if name in rec.LIST_CAPS else value.isNotNull()).cast("int")
+    status = F.when(tx.strip(F.col("_text")) == "", "empty_input").otherwise(F.coalesce("_p.error_kind", F.lit("ok")))
+    cut = F.length(tx.truncate_source(F.col("_text")))
+    shown = rows.withColumn("status", status)
+    ok = F.col("status") == "ok"
+    return shown.select("id", "status", F.when(ok, F.col("_p.record_json")).alias("record_json"), F.when(ok, filled).alias("n_filled"),
+                        F.when(ok, rec.ungrounded(F.col("_r"), F.col("_text"))).alias("ungrounded"), F.when(F.length("_text") > cut, cut).alias("read_chars"))
+
+
 STATUSES = ("ok", "parse_failed", "vote_failed", "low_agreement", "ungrounded", "api_failed")
 
 

@@ -34,9 +34,9 @@ def identity(text: Column, gold: Column, seed: Column) -> tuple[Column, Column]:
 
 
 def whitespace_chaos(text: Column, gold: Column, seed: Column) -> tuple[Column, Column]:
-    """Of the lines 30 % with doubled spaces, 25 % followed by an empty line, 10 % by a tab."""
+    """Of the lines 30 % with their first one to five spaces doubled, 25 % followed by an empty line, 10 % by a tab."""
     def line(x: Column, i: Column) -> Column:
-        spaced = F.when(draw(seed, i, F.lit("a")) < 0.3, F.regexp_replace(x, "^([^ ]*) ([^ ]*) ", "$1  $2  ")).otherwise(x)
+        spaced = F.when(draw(seed, i, F.lit("a")) < 0.3, F.array_join(F.split(x, " ", (F.floor(draw(seed, i, F.lit("s")) * 5) + 2).cast("int")), "  ")).otherwise(x)
         return F.concat(spaced, F.when(draw(seed, i, F.lit("b")) < 0.25, "\n").otherwise(""), F.when(draw(seed, i, F.lit("c")) < 0.1, "\n\t").otherwise(""))
 
     return F.array_join(F.transform(F.split(text, "\n"), line), "\n"), gold

@@ -53,6 +53,19 @@ def guard_share(df: DataFrame, bad: Column, most: float, message: str) -> DataFr
     return df.filter(F.assert_true(found <= most, F.lit(message)).isNull())
 
 
+def guard_least(df: DataFrame, least: int, message: str) -> DataFrame:
+    """`df`; refuses it with fewer than `least` rows: what the splits need and 100 to train on, say."""
+    if df.limit(least).count() < least:
+        raise ValueError(message)
+    return df
+
+
+def provenance(df: DataFrame, split: str, voted: Column) -> DataFrame:
+    """(split, n, n_voted, n_single, voted_share): where the labels of each split come from; a null `voted` counts as single."""
+    yes = F.count_if(voted)
+    return df.groupBy(split).agg(F.count("*").alias("n"), yes.alias("n_voted"), (F.count("*") - yes).alias("n_single"), F.round(yes / F.count("*"), 9).alias("voted_share"))
+
+
 def guard_same_size(runs: dict[str, DataFrame]) -> int:
     """The number of rows that all runs have; refuses runs of different size."""
     sizes = {k: df.count() for k, df in runs.items()}

@@ -288,6 +288,24 @@ def label_funnel(spark, d):
     return out.select(F.col("id").alias("posting_id"), "status", "n_parsed", joined(F.col("ungrounded")).alias("ungrounded"), r["job_title"].alias("job_title"), joined(r["required_skills"]).alias("required_skills"))
 
 
+_FILLED = "2 + " + " + ".join(f"cast({'len(' + n + ') > 0' if n in rec.LIST_CAPS else n + ' is not null'} as integer)" for n in rec.SCHEMA.names if n not in ("location", "salary"))
+
+
+@query(f"""with c as (select * replace (trim(application_deadline) as application_deadline), {_valid_sql(_COLS)} as fits from {CANON}), t as (select c.*, source_text, {s.strip('source_text')} = '' as blank, {s.truncate('source_text')} as src from c join {_TRUTH} using (posting_id))
+select record_id, case when blank then 'empty_input' when fits then 'ok' else 'schema_error' end as status, case when fits and not blank then {_FILLED} end as n_filled,
+case when fits and not blank then array_to_string({s.ungrounded(_COLS, 'src')}, '|') end as ungrounded, case when length(source_text) > length(src) then length(src) end as read_chars from t""")
+def extraction_results(spark, d):
+    """Every record as a model's output for its posting's text, as an extraction shows it."""
+    rows = _sourced(spark, d).select("record_id", "source_text", rec.to_json(F.col("r")).alias("output"))
+    out = label.extraction(rows, "record_id", "source_text", "output")
+    return out.select(F.col("id").alias("record_id"), "status", "n_filled", joined(F.col("ungrounded")).alias("ungrounded"), "read_chars")
+
+
+@query("select split, count(*) as n, count_if(is_gold) as n_voted, count(*) - count_if(is_gold) as n_single, round(count_if(is_gold) / count(*), 9) as voted_share from heldout group by 1")
+def label_provenance(spark, d):
+    return stats.provenance(stats.guard_least(table(spark, d, "heldout"), 1, "too few rows"), "split", F.col("is_gold"))
+
+
 _META = ("title", "location", "min_salary", "max_salary", "pay_period", "currency", "formatted_work_type", "formatted_experience_level", "remote_allowed")
 
 
@@ -627,8 +645,7 @@ def resumable_stream(spark, d):
 def stream_latest(spark, d):
     stream, folder = _event_stream(spark, d)
     incremental.latest(stream.select("user_id", "value", "event_id"), "user_id", F.col("event_id"), f"{folder}/out", f"{folder}/at")
-    newest = spark.read.parquet(f"{folder}/out").filter(F.col("v") == F.lit(spark.read.parquet(f"{folder}/out").agg(F.max("v")).first()[0]))
-    return newest.select("user_id", "value")
+    return incremental.latest_rows(spark, f"{folder}/out").select("user_id", "value")
 
 
 @query("select time_bucket(interval '6 hours', ts) as window_start, event_type, count(*) as n from events group by 1, 2")

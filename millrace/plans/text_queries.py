@@ -121,6 +121,14 @@ def tuning_messages(spark, d):
     return rows.select("posting_id", "batch", F.explode(turns).alias("m")).select("posting_id", "batch", "m.role", "m.content")
 
 
+@query("select posting_id, batch, target_json || '<|im_end|>' || chr(10) as trained from train where target_json is not null")
+def trained_parts(spark, d):
+    """What completion-only training learns from each rendered conversation."""
+    rows = table(spark, d, "train").filter("target_json is not null")
+    turns = F.concat(tx.build_messages(F.coalesce("source_text", F.lit(""))), F.array(F.struct(F.lit("assistant").alias("role"), F.col("target_json").alias("content"))))
+    return rows.select("posting_id", "batch", tx.trained_part(tx.render_turns(turns)).alias("trained"))
+
+
 def _extract_sql() -> str:
     has = lambda w: f"contains(low, '{w}')"
     names = ["money", "cur", "amt", "k"]

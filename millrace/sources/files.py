@@ -6,7 +6,7 @@ import json
 import os
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,18 +48,24 @@ def cache_key(model: Column, temperature: Column, sample: Column, prompt: Column
     return F.sha1(F.concat_ws("|", model, F.format_string("%.2f", temperature), sample.cast("string"), prompt))
 
 
+def answered(prompts: DataFrame, cache: DataFrame, key: str, order: Column, value: str) -> DataFrame:
+    """`prompts` with the `value` that the cache holds for their key, the last one written by `order`; null where it has none."""
+    last = cache.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(value, order).alias(value))
+    return prompts.drop(value).join(last, key, "left")
+
+
 def append_new(new: DataFrame, path: str, key: str) -> int:
-    """Append the rows whose key the Parquet log doesn't have; returns their number."""
+    """Append the rows whose key the Parquet log doesn't have; returns how many were appended, counted while they are written."""
     spark = new.sparkSession
+    appended = Observation()
     try:
         old = spark.read.parquet(path).select(key)
         new = new.join(old, key, "left_anti")
     except Exception as e:  # noqa: BLE001 - an absent log is an empty one, anything else is an error
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    new = new.dropDuplicates([key])
-    new.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count()
+    new.dropDuplicates([key]).observe(appended, F.count("*").alias("n")).write.mode("append").parquet(path)
+    return appended.get["n"]
 
 
 def build_cached(spark: SparkSession, folder: str, arguments: dict, build, version: int = 1) -> DataFrame:
@@ -171,6 +177,13 @@ class Options:
         return cls(**given)
 
 
+def report(title: str, tables: dict[str, DataFrame], notes: dict[str, str] | None = None) -> str:
+    """Several small results, each with its heading and note, as one Markdown text."""
+    notes = notes or {}
+    parts = [markdown(df, heading) + (f"\n{notes[heading]}\n" if heading in notes else "") for heading, df in tables.items()]
+    return "\n".join([f"# {title}\n", *parts])
+
+
 def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
     """A small result as a Markdown table; refuses over `most` rows."""
     rows = df.limit(most + 1).collect()

@@ -1,10 +1,12 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import jsonx
 from millrace.functions import records as rec
-from millrace.operators import label, vote
+from millrace.functions import text as tx
+from millrace.operators import label, perturb, stats, vote
 
 TEXT = "Backend Engineer. 5 years. You know python and sql. Apply by 2031-01-02. Pay 90000."
 
@@ -56,3 +58,32 @@ def test_json_block():
         assert block(text) is None, text
     deep = "{" + '"a":{' * 5000 + "}" * 5001
     assert block("see " + deep) == deep
+
+
+def test_extraction(spark):
+    long = "Cook wanted. " * 1000
+    rows = [(1, TEXT, "Sure: " + raw(years_experience_min=5)), (2, " ", raw()), (3, TEXT, "nothing"), (4, long, raw(job_title="Cook", company_name="Nowhere Inc")), (5, None, None), (6, TEXT, raw(extra=1))]
+    got = {r.id: r for r in label.extraction(spark.createDataFrame(rows, "k int, t string, o string"), "k", "t", "o").collect()}
+    assert {k: r.status for k, r in got.items()} == {1: "ok", 2: "empty_input", 3: "no_json", 4: "ok", 5: "empty_input", 6: "schema_error"}
+    assert got[1].n_filled == 4 and got[1].ungrounded == [] and got[1].read_chars is None
+    assert got[4].ungrounded == ["company_name"] and got[4].read_chars < len(long) and got[3].record_json is None
+
+
+def test_trained_part(spark):
+    turns = spark.range(1).select(tx.build_messages(F.lit("Cook wanted")).alias("m"))
+    asked = turns.select(tx.render_turns(F.col("m")).alias("t")).select(tx.trained_part(F.col("t")).alias("p"), "t").first()
+    assert asked.p is None and asked.t.startswith("<|im_start|>system\n") and asked.t.endswith("<|im_end|>\n")
+    whole = F.concat("m", F.array(F.struct(F.lit("assistant").alias("role"), F.lit("{}").alias("content"))))
+    assert turns.select(tx.trained_part(tx.render_turns(whole)).alias("p")).first().p == "{}<|im_end|>\n"
+
+
+def test_guards(spark):
+    assert stats.guard_least(spark.range(3), 3, "few").count() == 3
+    with pytest.raises(ValueError):
+        stats.guard_least(spark.range(2), 3, "few")
+
+
+def test_doubled_spaces(spark):
+    df = spark.range(300).select(perturb.whitespace_chaos(F.lit("a b c d e f g h"), F.lit(None), F.col("id"))[0].alias("t"))
+    doubled = {r.t.split("\n")[0].count("  ") for r in df.collect()}
+    assert doubled == {0, 1, 2, 3, 4, 5}
