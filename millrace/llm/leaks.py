@@ -109,6 +109,7 @@ class Items:
     ids: list
     words: list[list[str]]
     stock: list[list[bool]]
+    spread: list[list[bool]]  # of the stock words those that are it because very many documents hold them
 
     def seeds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(code, item, place) of each n-gram without stock words."""
@@ -125,18 +126,20 @@ class Items:
 def _load(documents: DataFrame, text: str, rows: list, shared: set[int]) -> Items:
     texts = [r.text or "" for r in rows]
     codes, owner, first = _grams(STOCK_GRAM, texts)
-    stock = shared
+    stock, spread = shared, set()
     others = np.unique(np.array([c for c in codes.tolist() if c not in shared], np.uint64))
     if len(others):
         held = documents.select(F.col(text).alias("text")).mapInArrow(_document_grams(others), "code long, cls long").distinct()
         counts = {r.code: r.n for r in held.groupBy("code").agg(F.count("*").alias("n")).filter(F.col("code").isNull() | (F.col("n") > STOCK_LEAST)).collect()}
         floor = max(STOCK_LEAST, STOCK_SHARE * counts.get(None, 0))
-        stock = shared | {c % (1 << 64) for c, n in counts.items() if c is not None and n > floor}
-    masks = [[False] * len(_WORD.findall(t)) for t in texts]
+        spread = {c % (1 << 64) for c, n in counts.items() if c is not None and n > floor}
+        stock = shared | spread
+    masks, wide = ([[False] * len(_WORD.findall(t)) for t in texts] for _ in range(2))
     for c, i, p in zip(codes.tolist(), owner.tolist(), first.tolist()):
-        if c in stock:
-            masks[i][p : p + STOCK_GRAM] = [True] * len(masks[i][p : p + STOCK_GRAM])
-    return Items([r.id for r in rows], [_WORD.findall(t.lower()) for t in texts], masks)
+        for mask, members in ((masks, stock), (wide, spread)):
+            if c in members:
+                mask[i][p : p + STOCK_GRAM] = [True] * len(mask[i][p : p + STOCK_GRAM])
+    return Items([r.id for r in rows], [_WORD.findall(t.lower()) for t in texts], masks, wide)
 
 
 #: A stretch needs so many matched words for each word changed in between: turns of phrase that items share don't add up.
@@ -268,19 +271,40 @@ def leaked_spans(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_i
     rows; other columns are ignored. `item_id` is an integer. Items beyond `BLOCK_WORDS` words are
     taken in blocks, each scanned for in turn.
     """
+    found = None
+    kind = documents.select(doc_id).schema[0].dataType.simpleString()
+    for block in _blocks(documents, items, text, item_id, item_text):
+        one = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+            _finder(block, least, slack, near), f"doc_id {kind}, item_id long, n_words int, start_char int, end_char int")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def stock_report(documents: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(item_id, n_words, n_shared, n_spread): the words of each item that leaked_spans leaves out as stock.
+
+    n_spread counts those left out because more than STOCK_SHARE of the different documents hold them: an item
+    that leaked so widely is told here and not passed over in silence. Items without stock are listed with zeros.
+    """
+    out = None
+    spark = documents.sparkSession
+    for block in _blocks(documents, items, text, item_id, item_text):
+        rows = [(int(i), len(w), sum(s) - sum(x), sum(x)) for i, w, s, x in zip(block.ids, block.words, block.stock, block.spread)]
+        one = spark.createDataFrame(rows, "item_id long, n_words int, n_shared int, n_spread int")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _blocks(documents: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str):
+    """The items, loaded in blocks of about BLOCK_WORDS words."""
     ship(documents.sparkSession)
     chosen = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).filter(F.col("text").isNotNull())
     size = chosen.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
     blocks = size // BLOCK_WORDS + 1
-    kind = documents.select(doc_id).schema[0].dataType.simpleString()
     shared = _shared_grams(chosen)
-    found = None
     for k in range(blocks):
         rows = chosen.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).orderBy("id").collect()
-        one = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-            _finder(_load(documents, text, rows, shared), least, slack, near), f"doc_id {kind}, item_id long, n_words int, start_char int, end_char int")
-        found = one if found is None else found.unionByName(one)
-    return found
+        yield _load(documents, text, rows, shared)
 
 
 def leak_report(spans: DataFrame) -> DataFrame:

@@ -117,6 +117,10 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leak_report(p8_spans(spark, d))
 
 
+def p8_stock(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.stock_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     spans = leaks.leaked_spans(documents, table(spark, d, "eval_items"))
@@ -149,5 +153,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_sample, p3_report, p4_found, p4_report, p5_found, p5_restored, p6_sample, p6_deliveries, p7_found, p7_unmatched,
-                                    p8_found, p8_report, p8_cleaned, p9_found, p9_report, p9_copies, p10_found, p10_pieces)}
+                                    p8_found, p8_report, p8_stock, p8_cleaned, p9_found, p9_report, p9_copies, p10_found, p10_pieces)}
 ORACLES: dict[str, str] = dict(oracles.ORACLES)

@@ -16,7 +16,7 @@ from ..runtime import ship
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longer texts are encoded in stretches cut before a space between words, so that no merge is lost.
+#: Longer texts are encoded in stretches of about so many characters.
 STRETCH = 200_000
 
 
@@ -33,17 +33,22 @@ def encoder(ranks: str = RANKS):
     return tiktoken.Encoding("millrace", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}), lengths
 
 
+@lru_cache(1)
+def _pattern():
+    import regex
+
+    return regex.compile(PATTERN)
+
+
 def _stretches(text: str):
+    """Parts of about STRETCH characters that each end where the splitting pattern ends a match, so that all merges stay as they are."""
     at = 0
-    while len(text) - at > STRETCH:
-        cut = at + STRETCH
-        back = cut
-        while back > at + STRETCH // 2 and not (text[back] == " " and text[back - 1].isalnum() and text[back + 1 : back + 2].isalnum()):
-            back -= 1
-        cut = back if back > at + STRETCH // 2 else cut
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
+    for m in _pattern().finditer(text):
+        if m.end() - at >= STRETCH:
+            yield text[at : m.end()]
+            at = m.end()
+    if at < len(text):
+        yield text[at:]
 
 
 def encode(text: str, ranks: str = RANKS) -> list[int]:

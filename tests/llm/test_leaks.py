@@ -45,6 +45,51 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in leaks.leaked_spans(d, e).collect()} == want == {(1, 0), (2, 5)}
 
 
+def test_words_that_items_share_are_stock_in_any_block(spark, monkeypatch):
+    shared = " ".join(VOCAB[:24])
+    e = spark.createDataFrame([(i, item(100 + i) + " " + shared) for i in range(8)], "item_id long, text string")
+    d = spark.createDataFrame([(i, doc(shared)) for i in range(40)] + [(99, doc(item(103)))], "doc_id long, text string")
+    for words in (2_000_000, 200):
+        monkeypatch.setattr(leaks, "BLOCK_WORDS", words)
+        assert {(r.doc_id, r.item_id) for r in leaks.leaked_spans(d, e).collect()} == {(99, 3)}
+        assert all(r.n_shared >= 24 for r in leaks.stock_report(d, e).collect())
+
+
+def test_items_that_very_many_documents_hold_are_told(spark):
+    d = spark.createDataFrame([(i, doc(item(4))) for i in range(200)], "doc_id long, text string")
+    told = {r.item_id: (r.n_words, r.n_shared, r.n_spread) for r in leaks.stock_report(d, spark.createDataFrame([(0, item(0)), (4, item(4))], "item_id long, text string")).collect()}
+    assert told == {0: (60, 0, 0), 4: (60, 0, 60)}
+
+
+def test_recall_on_random_edits(spark):
+    """Passages of 22 to 60 words of an item with a tenth of the words changed, left out or doubled by another."""
+    rng = random.Random(77)
+    items = [(i, " ".join(rng.choices(VOCAB, k=80))) for i in range(300)]
+    docs, due = [], set()
+    for i, text in items:
+        n = rng.randint(22, 60)
+        at = rng.randint(0, 80 - n)
+        out, kept = [], 0
+        for w in text.split()[at : at + n]:
+            what = rng.random()
+            if what < 0.9:
+                out.append(w)
+                kept += 1
+            elif what < 0.93:
+                out.append("changed")
+            elif what < 0.96:
+                out += [w, "added"]
+                kept += 1
+        docs.append((i, doc(" ".join(out))))
+        if kept >= 20:
+            due.add((i, i))
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks.leaked_spans(d, e).collect()}
+    recall = len(got & due) / len(due)
+    print("recall", recall, len(due))
+    assert len(due) > 200 and recall >= 0.95 and all(i == j for i, j in got)
+
+
 def test_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     e = spark.createDataFrame(ITEMS, "item_id long, text string")

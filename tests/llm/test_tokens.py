@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +26,20 @@ def test_cuts_at_natural_boundaries():
     assert {p[3] for p in pieces.Splitter().split(words)[:-1]} == {"space"}
 
 
+def test_a_change_of_topic_beats_a_flat_paragraph_end():
+    rng = random.Random(2)
+    pools = [[f"{k}{x}" for x in "abcdefghijkl"] for k in ("river", "ledger")]
+
+    def sentences(pool, n):
+        return " ".join(" ".join(rng.sample(pool, 9)).capitalize() + "." for _ in range(n))
+
+    tail = " ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(3000))
+    first = sentences(pools[0], 12)
+    text = first + " " + sentences(pools[1], 4) + "\n\n" + sentences(pools[1], 5) + "\n\n" + sentences(pools[1], 30) + tail
+    start, end, _, kind = pieces.Splitter(size=1024, overlap=64, least=0.2).split(text)[0]
+    assert (start, kind) == (0, "sentence") and text[:end] == first
+
+
 def test_valley_between_topics():
     a = [f"The river boat sailed past water mill {i} slowly." for i in range(6)]
     b = [f"Quarterly ledger audits need payroll figures {i} again." for i in range(6)]
@@ -51,8 +67,15 @@ def test_split_dataframe(spark):
 def test_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, "")], "id long, text string")
     assert {r.id: r.n_tokens for r in tokens.with_counts(df, "text", ["id"]).collect()} == {1: 2, 2: None, 3: 0}
-    long = "some words go here " * 40_000
-    assert abs(len(tokens.encode(long)) - len(tokens.encoder()[0].encode_ordinary(long))) <= 4
+
+
+@pytest.mark.parametrize("unit", ["some words go here ", "well-known-state-of-the-art-", "aujourd'hui,c'est-à-dire ", "東京都の求人です。", "a1b2-c3;", "x  \n\n  y ", "Ünïcödé—", "can't won't "])
+def test_long_texts_lose_no_merge(unit):
+    """Texts over the stretch give the tokens of the whole text."""
+    for extra in (1, 17, 60_001):
+        n = tokens.STRETCH + extra
+        text = (unit * (n // len(unit) + 1))[:n]
+        assert tokens.encode(text) == tokens.encoder()[0].encode_ordinary(text)
 
 
 def mix(spark, docs, targets):
