@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records as rec
 from ..functions import text as tx
+from ..runtime import durable
 from .order import running
 
 LOWER_IS_BETTER = ("hallucination_rate", "over_emission_rate", "mean_latency_s")
@@ -166,18 +167,24 @@ def percentile_interval(values: DataFrame, value: str, by: tuple[str, ...], repl
 def bootstrap(scored: DataFrame, key: str, replicates: int = 1000, seed: int = 17, poisson: bool = False) -> DataFrame:
     """(replicate, micro_f1, macro_f1, exact_match): the metrics of each resample of the pairs.
 
-    Per-pair counts are made once; a replicate only weighs them.
+    Per-pair counts are made once, as one narrow row of numbers; a replicate only weighs and adds them, without
+    a row per leaf. `poisson` needs no order and no count and is the way for large tables.
     """
-    per_pair = scored.select(key, "exact_match", "counts")
+    kinds = ("tp", "fp", "fn")
+    per_pair = durable(scored.select(key, F.col("exact_match").cast("int").alias("_exact"), *[F.col("counts")[i][x].cast("int").alias(f"_{x}{i}") for i in range(len(rec.LEAVES)) for x in kinds]))
     if poisson:
-        drawn = poisson_weights(per_pair, key, replicates, seed)
+        # the few rows are spread first, as each becomes up to `replicates`
+        drawn = poisson_weights(per_pair.repartition(int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")), key), key, replicates, seed)
     else:
         n = per_pair.count()
         drawn = ordinals(per_pair, key).join(multinomial_weights(scored.sparkSession, max(n, 1), replicates, seed), "_at")
-    c = field_counts(drawn, ("replicate",), F.col("w"))
+    sums = drawn.groupBy("replicate").agg((F.sum(F.col("_exact") * F.col("w")) / F.sum("w")).alias("exact_match"),
+                                          *[F.sum(F.col(f"_{x}{i}") * F.col("w")).alias(f"_{x}{i}") for i in range(len(rec.LEAVES)) for x in kinds])
+    sums = durable(sums)
+    leaves = F.array(*[F.struct(F.lit(leaf.path).alias("field"), *[F.col(f"_{x}{i}").alias(x) for x in kinds], F.lit(0).alias("tn")) for i, leaf in enumerate(rec.LEAVES)])
+    c = sums.select("replicate", F.explode(leaves).alias("l")).select("replicate", "l.*")
     f = roll_up(c, ("replicate",)).filter(F.col("metric").isin("micro_f1", "macro_f1")).groupBy("replicate").pivot("metric", ["micro_f1", "macro_f1"]).agg(F.first("value"))
-    e = drawn.groupBy("replicate").agg((F.sum(F.col("exact_match").cast("int") * F.col("w")) / F.sum("w")).alias("exact_match"))
-    return f.join(e, "replicate")
+    return f.join(sums.select("replicate", "exact_match"), "replicate")
 
 
 def paired_test(a: DataFrame, b: DataFrame, key: str, metric: str = "micro_f1", replicates: int = 1000, seed: int = 17) -> DataFrame:

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -442,10 +443,17 @@ def bootstrap_interval(spark, d):
     return score.percentile_interval(b, "micro_f1", (), _B, 0.05).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
-@query()
+_POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9)]
+_POISSON_W = " + ".join(f"cast(u >= {b!r}::double as integer)" for b in _POISSON)
+
+
+@query(f"""with {_PAIRS}, f as (select posting_id, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn from ({_FIELD_ROWS}) group by 1), d as (select f.*, r as replicate, cast(('0x' || substr(md5('17|' || r || '|' || posting_id), 1, 13)) as bigint) / pow(16, 13) as u from f, range({_B}) a(r)),
+m as (select replicate, {_F1} as micro_f1 from (select replicate, sum(tp * w) as tp, sum(fp * w) as fp, sum(fn * w) as fn from (select *, {_POISSON_W} as w from d) group by 1))
+select round((list_sort(list(micro_f1)))[{int(0.025 * _B) + 1}], 9) as low, round((list_sort(list(micro_f1)))[{int(0.975 * _B)}], 9) as high from m""")
 def poisson_bootstrap(spark, d):
     """The resampling for large tables: no order, no count."""
-    return score.percentile_interval(score.bootstrap(scored(spark, d), "posting_id", _B, poisson=True), "micro_f1", (), _B)
+    out = score.percentile_interval(score.bootstrap(scored(spark, d), "posting_id", _B, poisson=True), "micro_f1", (), _B)
+    return out.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
 @query()
@@ -492,15 +500,15 @@ select lang as metric, a.value as a, b.value as b, b.value - a.value as delta, a
 from a join b using (lang)""")
 def metric_deltas(spark, d):
     """Two (metric, value) tables side by side, with the share of the gap that half of b closes."""
-    docs = table(spark, d, "documents").filter("lang is not null")
+    docs = table(spark, d, "documents")
     a, b = (docs.filter(F.col("source") == x).groupBy(F.col("lang").alias("metric")).agg(F.count("*").cast("double").alias("value")) for x in ("board_north", "board_south"))
     out = score.metric_deltas(a, b)
     return out.withColumn("gap", F.round(score.gap_closed(F.col("b"), F.col("b") / 2, F.col("a")), 9))
 
 
-@query("""select source as metric, cast(count_if(lang = 'en') as double) as en, cast(count_if(lang = 'de') as double) as de from documents where source is not null group by 1""")
+@query("""select source as metric, cast(count_if(lang = 'en') as double) as en, cast(count_if(lang = 'de') as double) as de from documents group by 1""")
 def comparison_matrix(spark, d):
-    docs = table(spark, d, "documents").filter("source is not null")
+    docs = table(spark, d, "documents")
     runs = {x: docs.groupBy(F.col("source").alias("metric")).agg(F.count_if(F.col("lang") == x).cast("double").alias("value")) for x in ("en", "de")}
     return score.comparison(runs)
 
@@ -582,6 +590,20 @@ def perturbed_shouting(spark, d):
     return _suite(spark, d, ["shout_case"]).select(F.col("id").alias("row_id"), "arm", "variant_id", F.md5("text").alias("digest"))
 
 
+_GOLD_ARMS = ("identity", "strip_salary", "strip_deadline", "truncate_tail")
+
+
+@query(f"with c as {CANON}, p as (select record_id, c.* exclude (record_id) from c where posting_id in (select posting_id from raw_postings where text is not null)) select * from (" + " union all ".join(
+    f"""select record_id, '{a}' as arm, job_title, {'null' if a == 'strip_salary' else 'salary__min_amount'} as min_amount, {'null' if a == 'strip_salary' else 'salary__period'} as period,
+{'null' if a == 'strip_deadline' else 'application_deadline'} as deadline, array_to_string(required_skills, '|') as required_skills from p""" for a in _GOLD_ARMS) + ") t")
+def perturbed_gold(spark, d):
+    """What the arms do to the record that a changed text should give."""
+    suite = perturb.build_suite(_sourced(spark, d).select("record_id", "source_text", "r"), "record_id", "source_text", "r", {a: perturb.ARMS[a] for a in _GOLD_ARMS})
+    g = F.col("gold")
+    return suite.select(F.col("id").alias("record_id"), "arm", g["job_title"].alias("job_title"), g["salary"]["min_amount"].alias("min_amount"), g["salary"]["period"].alias("period"),
+                        g["application_deadline"].alias("deadline"), joined(g["required_skills"]).alias("required_skills"))
+
+
 @query()
 def perturbed_randomly(spark, d):
     rows = _sourced(spark, d).select("record_id", "source_text", "r")

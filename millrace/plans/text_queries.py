@@ -249,15 +249,15 @@ def quota_sample(spark, d):
     return sampling.quota_sample(rows, "stratum", _SHARES, 500, "row_id")
 
 
-@query(f"""with recursive g as (select source || '/' || coalesce(cast(company_id as varchar), 'none') as k, count(*) as n, bool_and(lang = 'en') as f from documents where source is not null group by 1),
+@query(f"""with recursive g as (select coalesce(source, 'none') || '/' || coalesce(cast(company_id as varchar), 'none') as k, count(*) as n, bool_and(lang = 'en') as f from documents group by 1),
 o as (select k, n, row_number() over (order by not coalesce(f, false), {s.bucket('k')}, k) as i from g),
 w as (select 0::bigint as i, 120::bigint as t, 80::bigint as v, '' as k, '' as split
 union all select o.i, case when o.n <= w.t then w.t - o.n else w.t end, case when o.n > w.t and o.n <= w.v then w.v - o.n else w.v end, o.k,
 case when o.n <= w.t then 'test' when o.n <= w.v then 'val' else 'train' end from w join o on o.i = w.i + 1)
 select k, split from w where i > 0""")
 def grouped_split(spark, d):
-    docs = table(spark, d, "documents").filter("source is not null")
-    key = F.concat(F.col("source"), F.lit("/"), F.coalesce(F.col("company_id").cast("string"), F.lit("none")))
+    docs = table(spark, d, "documents")
+    key = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce(F.col("company_id").cast("string"), F.lit("none")))
     groups = docs.groupBy(key.alias("k")).agg(F.count("*").alias("n"), F.coalesce(F.bool_and(F.col("lang") == "en"), F.lit(False)).alias("f"))
     return sampling.grouped_split(groups, "k", "n", "f", 120, 80)
 
