@@ -202,6 +202,8 @@ def canonicalize(values: DataFrame, value: str, entries: list[tuple[str, str, tu
     ship(values.sparkSession)
     rows = values.select(*[c for c in values.columns if c not in (value, *ADDED)], value)
     different = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_value")).agg(F.lit(1).alias("_one")).select("_value")
+    # few bytes but much work each: a number of parts of our own keeps adaptive execution from making them one task
+    different = different.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     mapped = different.mapInArrow(_mapper(entries, keys_entered), "_value string, ref_key string, edits int, candidates array<struct<key: string, edits: int>>, as_listed boolean")
     joined = rows.join(mapped, F.col(value) == F.col("_value"), "left").drop("_value")
     return joined.na.fill({"ref_key": "", "edits": -1, "as_listed": False})
